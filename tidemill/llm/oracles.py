@@ -5,17 +5,18 @@ WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM d, unnest(range(greatest(0, len(h) // 2 - 49))) AS r(p)),
 least AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
 hit AS (SELECT w.doc_id, w.p FROM w JOIN least USING (s) WHERE w.doc_id > least.least),
-bytes AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS b FROM d, unnest(range(len(h) // 2)) AS r(p)),
-marked AS (
-  SELECT b.doc_id, b.p, b.b,
-    coalesce(b.p - max(hit.p) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS UNBOUNDED PRECEDING) < 50, false) AS gone
-  FROM bytes b LEFT JOIN hit ON b.doc_id = hit.doc_id AND b.p = hit.p
-),
-spans AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM marked)
-SELECT d.doc_id, any_value(len(d.h) // 2)::BIGINT AS n_bytes,
-  count(*) FILTER (gone)::BIGINT AS n_removed, count(*) FILTER (starts)::BIGINT AS n_spans,
-  sha256(unhex(coalesce(string_agg(b, '' ORDER BY p) FILTER (NOT gone), ''))) AS kept_sha256
-FROM d LEFT JOIN spans ON d.doc_id = spans.doc_id GROUP BY d.doc_id
+edge AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, true)::INT AS starts FROM hit),
+run AS (SELECT doc_id, p, sum(starts) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM edge),
+span AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, k),
+kept AS (
+  SELECT doc_id, a, substr(h, 2 * before + 1, 2 * (a - before)) AS part
+  FROM (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span
+        UNION ALL SELECT d.doc_id, len(d.h) // 2, coalesce(max(b), 0) FROM d LEFT JOIN span ON d.doc_id = span.doc_id GROUP BY d.doc_id, d.h) g
+  JOIN d USING (doc_id)
+)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.spans, 0)::BIGINT AS n_spans, k.kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM span GROUP BY doc_id) g ON d.doc_id = g.doc_id
+JOIN (SELECT doc_id, sha256(unhex(string_agg(part, '' ORDER BY a))) AS kept_sha256 FROM kept GROUP BY doc_id) k ON d.doc_id = k.doc_id
 """
 
 OP10 = r"""
