@@ -63,7 +63,7 @@ def identified(docs: DataFrame, *more: str) -> DataFrame:
 
 
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -39,7 +39,9 @@ from . import common
 #: Bytes of a k-gram. A window of 50 bytes has 35 of them.
 GRAM = 16
 #: Windows in a chunk of a long document, and the most in a segment.
-CHUNK, LONGEST = 1 << 20, 512
+CHUNK, LONGEST = 1 << 18, 512
+#: Bytes that are sorted together at least, if there are as many.
+SORTED_BYTES = 1 << 19
 
 
 def window_keys(data: np.ndarray, size: int) -> np.ndarray:
@@ -297,10 +299,21 @@ class Plan:
         text of a smaller owner. Only texts whose minimizer another text has can share one."""
         of = np.zeros(len(texts), np.uint64)
         of[same] = key
-        _, inverse, times = np.unique(of, return_inverse=True, return_counts=True)
-        pick = np.flatnonzero(times[inverse] > 1)
-        if not len(pick):
-            return
+        order = np.argsort(of, kind="stable")
+        starts = common.run_starts(of[order])
+        ends = np.append(starts[1:], len(order))
+        held, size = [], 0
+        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+            part = order[a:b]
+            held.append(part)
+            size += sum(len(texts[k]) for k in part.tolist())
+            if size >= SORTED_BYTES:  # different minimizers share no window: they can be sorted apart
+                yield from self._repeats_among(texts, owner, np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield from self._repeats_among(texts, owner, np.concatenate(held))
+
+    def _repeats_among(self, texts: list[bytes], owner: np.ndarray, pick: np.ndarray) -> Iterator[tuple[int, int, int]]:
         # bytes move up by one value so that 0 can end each text; 255 never occurs in UTF-8
         joined = np.frombuffer(b"\0".join(texts[k] for k in pick.tolist()) + b"\0", np.uint8)
         size = np.array([len(texts[k]) for k in pick.tolist()])
