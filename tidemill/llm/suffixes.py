@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,12 +146,23 @@ def same_prefix(text: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
     return same
 
 
-def _minima(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(n, common.NULL_DOC, np.int64)
+def _minima(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The least value of each owner 0, 1, ..."""
+    out = np.full(int(owner.max()) + 1 if len(owner) else 0, common.NULL_DOC, np.int64)
     np.minimum.at(out, owner, value)
     return out
 
 
+def _same(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of equal texts (by 128-bit hashes), and the first text of each number."""
+    digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<u8").reshape(-1, 2)
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    starts = common.run_starts(digest[order, 0], digest[order, 1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    return number, order[starts]
+
+
 _SPANS = pa.schema([("block", pa.int32()), ("spans", pa.binary())])
 _MOVED = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
@@ -237,27 +249,21 @@ class Plan:
             shared[start[r] : start[r + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(count[r]))
         pick = np.flatnonzero(shared[inverse])
         pick = pick[np.argsort(keys[pick], kind="stable")]
-        block, spans, rows = docs["block"][0].as_py(), [], []
-        held: dict[bytes, list[int]] = {}
-        for k in pick.tolist():
-            held.setdefault(texts[doc[k]][first[k] : last[k] + self.size - 1].tobytes(), []).append(k)
-        for text, at in held.items():
-            least = min(ids[doc[k]] for k in at)
-            for k in at:
-                if ids[doc[k]] == least:
-                    rows.append((keys[k], doc[k], first[k], text))
-                else:
-                    spans.append(k)
-        out = [(-1 - block, block, 2, self.spans(doc[spans], first[spans], last[spans] - first[spans] + self.size - 1))] if spans else []
-        if rows:
-            k, d, f, body = zip(*rows)
-            k, d, f, size = np.array(k, np.uint64), np.array(d, np.int32), np.array(f, np.int64), np.array([len(x) for x in body], np.int32)
-            order = np.argsort(k, kind="stable")
-            to = _ranges(k[order], self.ranges)
-            at = common.run_starts(to)
-            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(to)]):
-                o = order[a:b]
-                out.append((int(to[a]), block, 3, common.pack(k[o], ids[d[o]], d[o], f[o], size[o], b"".join(body[i] for i in o.tolist()))))
+        block, out = docs["block"][0].as_py(), []
+        ends = last + self.size - 1
+        same, _ = _same([texts[d][f:e] for d, f, e in zip(doc[pick].tolist(), first[pick].tolist(), ends[pick].tolist())])
+        owner = ids[doc[pick]]
+        least = owner == _minima(same, owner)[same]
+        if not least.all():
+            k = pick[~least]
+            out.append((-1 - block, block, 2, self.spans(doc[k], first[k], ends[k] - first[k])))
+        pick = pick[least]
+        to = _ranges(keys[pick], self.ranges)
+        at = common.run_starts(to)
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(to)]):
+            o = pick[a:b]
+            body = b"".join(texts[d][f:e].tobytes() for d, f, e in zip(doc[o].tolist(), first[o].tolist(), ends[o].tolist()))
+            out.append((int(to[a]), block, 3, common.pack(keys[o], ids[doc[o]], doc[o].astype(np.int32), first[o].astype(np.int64), (ends[o] - first[o]).astype(np.int32), body)))
         return common.table(_MOVED, list(zip(*out)) or [[]] * 4)
 
     @staticmethod
@@ -269,73 +275,71 @@ class Plan:
         kinds, blocks, blobs = (t[c].to_pylist() for c in ("kind", "block", "blob"))
         out = [(b, x) for kind, b, x in zip(kinds, blocks, blobs) if kind == 2]
         parts = [(b, common.unpack(x)) for kind, b, x in zip(kinds, blocks, blobs) if kind == 3]
-        gone: dict[int, list[tuple]] = {}
         if parts:
             key, owner, doc, first, size = (np.concatenate([p[1][i] for p in parts]) for i in range(5))
             block = np.repeat([p[0] for p in parts], [len(p[1][0]) for p in parts])
             body = b"".join(p[1][5] for p in parts)
+            del parts
             offset = np.concatenate([[0], np.cumsum(size)])
-            number: dict[bytes, int] = {}
-            same = np.array([number.setdefault(body[a:b], len(number)) for a, b in zip(offset[:-1].tolist(), offset[1:].tolist())])
-            least = _minima(same, owner, len(number))
-            for k in np.flatnonzero(owner != least[same]).tolist():
-                gone.setdefault(int(block[k]), []).append((doc[k], first[k], size[k]))
+            view = memoryview(body)
+            same, one = _same([view[a:b] for a, b in zip(offset[:-1].tolist(), offset[1:].tolist())])
+            least = _minima(same, owner)
             kept = np.flatnonzero(owner == least[same])
-            for k, a, n in self.repeats(list(number), least, key, same):
-                for row in kept[same[kept] == k].tolist() if len(kept) < 1000 else self.rows_of(same, kept, k):
-                    gone.setdefault(int(block[row]), []).append((doc[row], first[row] + a, n))
-        out += [(b, self.spans(*zip(*x))) for b, x in gone.items()]
+            kept = kept[np.argsort(same[kept], kind="stable")]
+            lo, hi = np.searchsorted(same[kept], np.arange(len(one))), np.searchsorted(same[kept], np.arange(len(one)), "right")
+            rows, starts, sizes = [np.flatnonzero(owner != least[same])], [], []
+            starts.append(np.zeros(len(rows[0]), np.int64)), sizes.append(size[rows[0]])
+            for k, a, n in self.repeats(lambda k: body[offset[one[k]] : offset[one[k] + 1]], size[one], least, key[one]):
+                times = hi[k] - lo[k]  # a document may hold a segment more than once
+                at = np.repeat(lo[k] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                rows.append(kept[at]), starts.append(np.repeat(a, times)), sizes.append(np.repeat(n, times))
+            row, start, length = map(np.concatenate, (rows, starts, sizes))
+            order = np.argsort(block[row], kind="stable")
+            row, start, length = row[order], start[order], length[order]
+            at = common.run_starts(block[row]).tolist()
+            for a, b in zip(at, [*at[1:], len(row)]):
+                r = row[a:b]
+                out.append((int(block[r[0]]), self.spans(doc[r], first[r] + start[a:b], length[a:b])))
         return common.table(_SPANS, list(zip(*out)) or [[]] * 2)
 
-    def rows_of(self, same: np.ndarray, kept: np.ndarray, k: int) -> list[int]:
-        if getattr(self, "_at", (None,))[0] is not same:
-            order = kept[np.argsort(same[kept], kind="stable")]
-            self._at = (same, order, same[order])
-        _, order, sorted_same = self._at
-        return order[np.searchsorted(sorted_same, k) : np.searchsorted(sorted_same, k, "right")].tolist()
-
-    def repeats(self, texts: list[bytes], owner: np.ndarray, key: np.ndarray, same: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, start, size) of what goes from the distinct texts: windows that also start in a
-        text of a smaller owner. Only texts whose minimizer another text has can share one."""
-        of = np.zeros(len(texts), np.uint64)
-        of[same] = key
-        order = np.argsort(of, kind="stable")
-        starts = common.run_starts(of[order])
+    def repeats(self, text, size: np.ndarray, owner: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(number, start, size) of what goes from distinct segments: windows that also start in a
+        segment of a smaller owner. Only segments with one minimizer can share a window, so
+        different minimizers are sorted apart, some together until there is enough text."""
+        order = np.argsort(key, kind="stable")
+        starts = common.run_starts(key[order])
         ends = np.append(starts[1:], len(order))
-        held, size = [], 0
+        held, n = [], 0
         for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            part = order[a:b]
-            held.append(part)
-            size += sum(len(texts[k]) for k in part.tolist())
-            if size >= SORTED_BYTES:  # different minimizers share no window: they can be sorted apart
-                yield from self._repeats_among(texts, owner, np.concatenate(held))
-                held, size = [], 0
+            held.append(order[a:b])
+            n += int(size[order[a:b]].sum())
+            if n >= SORTED_BYTES:
+                yield self._repeats_among(text, owner, np.concatenate(held))
+                held, n = [], 0
         if held:
-            yield from self._repeats_among(texts, owner, np.concatenate(held))
+            yield self._repeats_among(text, owner, np.concatenate(held))
 
-    def _repeats_among(self, texts: list[bytes], owner: np.ndarray, pick: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def _repeats_among(self, text, owner: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [text(k) for k in pick.tolist()]
         # bytes move up by one value so that 0 can end each text; 255 never occurs in UTF-8
-        joined = np.frombuffer(b"\0".join(texts[k] for k in pick.tolist()) + b"\0", np.uint8)
-        size = np.array([len(texts[k]) for k in pick.tolist()])
+        joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        size = np.array([len(x) for x in texts])
         end = np.cumsum(size + 1)
         raised = np.where(joined == 255, 255, joined + 1).astype(np.uint8)
         raised[end - 1] = 0
         order = two_stage(raised, self.size + 6)
-        text = np.searchsorted(end, order, "right")
-        whole = order + self.size <= end[text] - 1
-        order, text = order[whole], text[whole]
+        of = np.searchsorted(end, order, "right")
+        whole = order + self.size <= end[of] - 1
+        order, of = order[whole], of[whole]
         run = np.cumsum(~same_prefix(raised, order, self.size)) - 1
-        least = _minima(run, owner[pick][text], int(run[-1]) + 1) if len(run) else run
-        out = np.flatnonzero(owner[pick][text] > least[run]) if len(run) else run
-        at, which = order[out], text[out]
-        o = np.argsort(at)
-        at, which = at[o], which[o]
-        if not len(at):
-            return
-        breaks = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(which) != 0)))
-        for a, b in zip(breaks.tolist(), [*breaks[1:].tolist(), len(at)]):
-            k = int(which[a])
-            yield int(pick[k]), int(at[a] - (end[k] - size[k] - 1)), int(at[b - 1] - at[a]) + self.size
+        owns = owner[pick][of]
+        out = np.flatnonzero(owns > _minima(run, owns)[run])
+        out = out[np.argsort(order[out])]
+        at, which = order[out], of[out]
+        first = common.run_starts(which, at - np.arange(len(at)))
+        last = np.append(first[1:], len(at)) - 1
+        k = which[first]
+        return pick[k], at[first] - (end[k] - size[k] - 1), at[last] - at[first] + self.size if len(at) else at
 
     def removed(self, docs: pa.Table, spans: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """k_doc, th, text and the bytes that go, of a block's distinct rows."""
@@ -355,7 +359,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 def dedup(docs: DataFrame, size: int = 50, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (UTF-8 bytes; null unless asked
     for) for every row of docs."""
-    plan = Plan(size, common.partitions(docs.sparkSession))
+    plan = Plan(size, 2 * common.partitions(docs.sparkSession))
     block = common.blocks(docs)
     moved = "range int, block int, kind int, blob binary"
     keys = block.groupBy("block").applyInArrow(lambda t: plan.keys_of_block(t), moved)
