@@ -62,7 +62,10 @@ def window_keys(data: np.ndarray, size: int) -> np.ndarray:
         step = min(have, width - have)
         h = np.minimum(h[:-step], h[step:])
         have += step
-    return h
+    # minima are small numbers: one-to-one mixing spreads them evenly over the ranges
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
 
 
 def segments(data: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
