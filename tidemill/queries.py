@@ -1,10 +1,385 @@
-"""Registered queries of the time-series engine and their SQL."""
+"""Registered queries of the time-series engine and their SQL.
+
+The series come from the star schema: a gauge for each event type (hourly steps), counters made of
+event ids, a gauge of order prices for each priority (daily steps).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.rpn import Expression, Grid
+from .operators import admin, consolidate, fetch, forecast, ingest, vdef
+from .plans.script import Script, Source
+from .schema import Archive, Database, DataSource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+HOUR, DAY, HEARTBEAT = 3600, 86400, 14400
+#: The window of most queries: ten days of hours inside the events.
+START, END = 1704499200, 1705363200
+INF = float("inf")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def keep(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+# readings
+
+
+def events(spark: SparkSession, sf_dir: str, v: str = "value") -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ts = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000))
+    return e.select(F.col("event_type").alias("series"), ts.alias("ts"), F.expr(v).alias("v"), F.col("event_id").alias("seq"))
+
+
+def readings_sql(v: str = "value") -> str:
+    return f"SELECT event_type AS series, CAST(floor(epoch(ts)) AS BIGINT) AS ts, arg_min({v}, event_id) AS v FROM events GROUP BY ALL"
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderpriority").alias("series"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("seq"))
+
+
+ORDERS_SQL = "SELECT o_orderpriority AS series, CAST(epoch(o_orderdate) AS BIGINT) AS ts, arg_min(o_totalprice, o_orderkey) AS v FROM orders GROUP BY ALL"
+
+AMOUNTS = {
+    "GAUGE": ("v * i", "v"),
+    "ABSOLUTE": ("v", "v / i"),
+    "COUNTER": ("CASE WHEN d >= 0 THEN d WHEN d + 4294967295 >= 0 THEN d + 4294967295 ELSE d + 4294967295 + 18446744069414584320 END", None),
+    "DERIVE": ("CASE WHEN (v < 0) = (old < 0) THEN d END", None),
+    "DCOUNTER": ("CASE WHEN NOT ((d < 0 AND v > 0) OR (d > 0 AND v < 0)) THEN d END", None),
+    "DDERIVE": ("d", None),
+}
+
+
+def pdp_sql(readings: str, kind: str = "GAUGE", step: int = HOUR, heartbeat: int = HEARTBEAT, low: float | None = None, high: float | None = None) -> str:
+    """Common table expressions up to pdp(series, ts, v), from readings of whole seconds."""
+    amount, rate = AMOUNTS[kind]
+    rate = rate or f"({amount}) / i"
+    bounds = "".join(f" AND {rate} {op} {x}" for op, x in ((">=", low), ("<=", high)) if x is not None)
+    return f"""
+rd AS ({readings}),
+p_prev AS (SELECT series, ts, v::DOUBLE AS v, lag(ts) OVER w AS prev, lag(v::DOUBLE) OVER w AS old FROM rd WINDOW w AS (PARTITION BY series ORDER BY ts)),
+p_step AS (SELECT *, (ts - prev)::DOUBLE AS i, v - old AS d FROM p_prev WHERE prev IS NOT NULL),
+p_amount AS (SELECT series, ts, prev, ts - prev AS i, CASE WHEN i <= {heartbeat}{bounds} THEN {amount} END::DOUBLE AS a FROM p_step),
+p_rate AS (SELECT *, a / i AS r, ts // {step} - prev // {step} AS n, prev // {step} AS b0, ts // {step} AS b1 FROM p_amount),
+p_parts AS (SELECT series, b1 AS b, sum(CASE WHEN n = 0 THEN a ELSE r * (ts - b1 * {step}) END) AS k,
+  sum(CASE WHEN a IS NULL THEN CASE WHEN n = 0 THEN i ELSE ts - b1 * {step} END END) AS u FROM p_rate GROUP BY ALL),
+p_opened AS (SELECT series, min(prev) AS f FROM p_rate GROUP BY ALL),
+p_close AS (SELECT b.series, b.b0, b.n, b.r, b.i, b.b1 * {step} - b.prev AS w, (b.b1 * {step} - b.prev) % {step} AS lead, p.k,
+  coalesce(p.u, 0) + CASE WHEN f // {step} = b.b0 THEN f % {step} ELSE 0 END AS u
+  FROM p_rate b JOIN p_opened USING (series) LEFT JOIN p_parts p ON p.series = b.series AND p.b = b.b0 WHERE b.n > 0),
+p_part AS (SELECT *, CASE WHEN n = 1 OR lead < 1 THEN w ELSE lead END AS part, CASE WHEN n = 1 OR lead >= 1 THEN {step} ELSE n * {step} END AS len,
+  CASE WHEN n > 1 AND lead >= 1 THEN lead > {heartbeat} ELSE i > {heartbeat} END AS late FROM p_close),
+p_value AS (SELECT *, CASE WHEN 2 * u <= {step} AND NOT late AND len - u - CASE WHEN r IS NULL THEN part ELSE 0 END > 0 THEN
+  CASE WHEN r IS NULL THEN k ELSE coalesce(k, 0) + r * part END / (len - u - CASE WHEN r IS NULL THEN part ELSE 0 END) END AS v FROM p_part),
+pdp AS (SELECT series, (b0 + j + 1) * {step} AS ts, CASE WHEN j = 0 THEN v ELSE r END AS v FROM p_value, unnest(range(n)) AS t(j))"""
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.pdps(events(spark, sf_dir), DataSource("v", "GAUGE", HEARTBEAT), HOUR)
+
+
+HOURLY = pdp_sql(readings_sql())
+
+
+def out(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# ingestion
+
+for _kind, _v in (("GAUGE", "value"), ("ABSOLUTE", "value"), ("COUNTER", "cast(event_id % 5000 as string)"), ("DERIVE", "cast((event_id * 7919) % 2001 - 1000 as string)"), ("DCOUNTER", "cast(event_id % 5000 as double)"), ("DDERIVE", "value")):
+
+    def _pdp(spark: SparkSession, sf_dir: str, kind: str = _kind, v: str = _v) -> DataFrame:
+        return out(ingest.pdps(events(spark, sf_dir, v), DataSource("v", kind, HEARTBEAT), HOUR))
+
+    query(f"WITH {pdp_sql(readings_sql(_v), _kind)} SELECT series, ts, round(v, 9) AS v FROM pdp", f"{_kind.lower()}_{'pdp' if _kind in ('GAUGE', 'ABSOLUTE') else 'rate'}")(_pdp)
+
+
+@query(f"WITH {pdp_sql(readings_sql(), heartbeat=1800)} SELECT series, ts, round(v, 9) AS v FROM pdp")
+def heartbeat_gap(spark, sf_dir):
+    return out(ingest.pdps(events(spark, sf_dir), DataSource("v", "GAUGE", 1800), HOUR))
+
+
+@query(f"WITH {pdp_sql(readings_sql(), low=10, high=80)} SELECT series, ts, round(v, 9) AS v FROM pdp")
+def minmax_range(spark, sf_dir):
+    return out(ingest.pdps(events(spark, sf_dir), DataSource("v", "GAUGE", HEARTBEAT, 10, 80), HOUR))
+
+
+@query(f"WITH {HOURLY}, w AS (SELECT ts, max(v) FILTER (series = 'click') AS a, max(v) FILTER (series = 'view') AS b FROM pdp GROUP BY ts) SELECT 'all' AS series, 'c' AS ds, ts, round(a + b * 2, 9) AS v FROM w")
+def compute_ds(spark, sf_dir):
+    pdp = hourly(spark, sf_dir).select(F.lit("all").alias("series"), F.col("series").alias("ds"), "ts", "v")
+    return out(ingest.computed(pdp, "c", "click,view,2,*,+"))
+
+
+@query("WITH rd AS (" + readings_sql() + "), m AS (SELECT series, max(ts) AS last FROM rd GROUP BY series) SELECT series, last, round(v, 9) AS reading FROM m JOIN rd USING (series) WHERE rd.ts = m.last")
+def last_update(spark, sf_dir):
+    first = events(spark, sf_dir).groupBy("series", "ts").agg(F.min_by("v", "seq").alias("v"))
+    return out(fetch.last_updates(first))
+
+
+@query(
+    f"""WITH rd AS ({readings_sql()}), x AS (SELECT series, ts, v, lag(ts) OVER (PARTITION BY series ORDER BY ts) AS prev FROM rd),
+p AS (SELECT series, prev, ts, ts - prev AS i, CASE WHEN ts - prev <= 1800 THEN v END AS r, unnest(range(prev // 3600, (ts - 1) // 3600 + 1)) AS b FROM x WHERE prev IS NOT NULL),
+q AS (SELECT *, least(ts, (b + 1) * 3600) - greatest(prev, b * 3600) AS o FROM p),
+e AS (SELECT series, max(ts) AS last FROM q GROUP BY series),
+s AS (SELECT series, b, sum(r * o) AS k, sum(o) FILTER (r IS NOT NULL) AS n, bool_or(i > 1800) AS gap FROM q GROUP BY ALL)
+SELECT series, (b + 1) * 3600 AS ts, round(CASE WHEN NOT gap AND 2 * coalesce(n, 0) >= 3600 THEN k / n END, 9) AS v FROM s JOIN e USING (series) WHERE (b + 1) * 3600 <= last"""
+)
+def native_gauge(spark, sf_dir):
+    return out(ingest.native_pdps(events(spark, sf_dir), HOUR, 1800))
+
+
+# consolidation
+
+
+def rra_sql(cf: str, k: int, rows: int, xff: float = 0.5, base: str = HOURLY) -> str:
+    f = {"AVERAGE": "avg(v)", "MIN": "min(v)", "MAX": "max(v)", "LAST": "CASE WHEN max(ts) FILTER (v IS NOT NULL) = max(ts) THEN arg_max(v, ts) END"}[cf]
+    slot = k * HOUR
+    return f"""{base}, e AS (SELECT series, max(ts) // {slot} * {slot} AS last FROM pdp GROUP BY series),
+s AS (SELECT series, (ts + {slot - 1}) // {slot} * {slot} AS te, {f} AS v, count(v) AS known FROM pdp GROUP BY series, te),
+rra AS (SELECT s.series, te AS ts, CASE WHEN {k} - known <= {xff} * {k} THEN v END AS v FROM s JOIN e USING (series) WHERE te <= last AND te > last - {rows * slot})"""
+
+
+def _rra(cf: str, k: int = 6, rows: int = 100, xff: float = 0.5, heartbeat: int = HEARTBEAT):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pdp = ingest.pdps(events(spark, sf_dir), DataSource("v", "GAUGE", heartbeat), HOUR)
+        return out(consolidate.archive_rows(pdp, Archive(cf, xff, k, rows), HOUR))
+
+    return f
+
+
+PICK = " SELECT series, ts, round(v, 9) AS v FROM rra"
+for _cf in ("AVERAGE", "MIN", "MAX", "LAST"):
+    query(f"WITH {rra_sql(_cf, 6, 100)}{PICK}", f"rra_{_cf.lower()}")(_rra(_cf))
+query(f"WITH {rra_sql('AVERAGE', 6, 100, 0.2, pdp_sql(readings_sql(), heartbeat=1800))}{PICK}", "xff_gate")(_rra("AVERAGE", 6, 100, 0.2, 1800))
+query(f"WITH {rra_sql('AVERAGE', 1, 48)}{PICK}", "retention")(_rra("AVERAGE", 1, 48))
+
+
+@query(f"WITH {pdp_sql(ORDERS_SQL, step=DAY, heartbeat=10 * DAY)} SELECT series, ts, round(v, 6) AS v FROM pdp")
+def orders_daily(spark, sf_dir):
+    pdp = ingest.pdps(orders(spark, sf_dir), DataSource("v", "GAUGE", 10 * DAY), DAY)
+    return pdp.select("series", "ts", F.round("v", 6).alias("v"))
+
+
+# fetching and scripts
+
+ARCHIVES = (Archive("AVERAGE", 0.5, 1, 1000), Archive("AVERAGE", 0.5, 6, 400), Archive("MAX", 0.5, 24, 60), Archive("LAST", 0.5, 1, 1000))
+
+
+def database(spark: SparkSession, sf_dir: str) -> Source:
+    """The events as one database: a data source for each event type, four archives."""
+    readings = events(spark, sf_dir)
+    pdp = hourly(spark, sf_dir)
+    names, last = readings.agg(F.sort_array(F.collect_set("series")), F.max("ts")).first()  # types of events are few
+    db = Database(HOUR, tuple(DataSource(n, "GAUGE", HEARTBEAT) for n in names), ARCHIVES, None, int(last))
+    return Source(db, consolidate.consolidate(pdp, list(ARCHIVES), HOUR))
+
+
+def script(spark: SparkSession, sf_dir: str, *elements: str, step: int = 1) -> Script:
+    return Script(START, END, {"events": database(spark, sf_dir)}, step, now=END).run(*elements)
+
+
+def series_sql(name: str, step: int = HOUR) -> str:
+    """Rows of the window of one series, end + 1 step as fetched; from pdp or rra of the name."""
+    table = "pdp" if step == HOUR else "rra"
+    return f"(SELECT t AS ts, v FROM range({START + step}, {END + step + 1}, {step}) AS r(t) LEFT JOIN (SELECT ts, v FROM {table} WHERE series = '{name}') p ON p.ts = t)"
+
+
+AB = f"{HOURLY}, a AS {series_sql('click')}, b AS {series_sql('view')}, w AS (SELECT a.ts, a.v AS a, b.v AS b FROM a JOIN b USING (ts))"
+
+
+@query(f"WITH {HOURLY}, n AS (SELECT DISTINCT series FROM pdp) SELECT n.series, t AS ts, round(p.v, 9) AS v FROM n, range({START + HOUR}, {END + HOUR + 1}, {HOUR}) AS r(t) LEFT JOIN pdp p ON p.series = n.series AND p.ts = t")
+def fetch_grid(spark, sf_dir):
+    s = database(spark, sf_dir)
+    return out(fetch.fetch(s.points, s.db, "AVERAGE", START, END)[0])
+
+
+@query("SELECT * FROM (VALUES ('AVERAGE', 1, 0), ('AVERAGE', 21600, 1), ('MAX', 1, 0), ('MAX', 86400, 2), ('MIN', 86400, 0), ('LAST', 1, 0)) AS t(cf, step, rra)")
+def archive_choice(spark, sf_dir):
+    db = database(spark, sf_dir).db
+    rows = [(cf, step, fetch.choose_archive(db, cf, START, END, step)) for cf, step in (("AVERAGE", 1), ("AVERAGE", 21600), ("MAX", 1), ("MAX", 86400), ("MIN", 86400), ("LAST", 1))]
+    return spark.createDataFrame(rows, "cf string, step int, rra int")
+
+
+@query("WITH l AS (SELECT max(CAST(floor(epoch(ts)) AS BIGINT)) AS t FROM events) " + " UNION ALL ".join(f"SELECT {i} AS rra, t // {a.pdp_per_row * HOUR} * {a.pdp_per_row * HOUR} - {(a.rows - 1) * a.pdp_per_row * HOUR} AS first FROM l" for i, a in enumerate(ARCHIVES)))
+def first_update(spark, sf_dir):
+    db = database(spark, sf_dir).db
+    return spark.createDataFrame([(i, fetch.first_time(db, i)) for i in range(len(db.archives))], "rra int, first long")
+
+
+def rpn(name: str, sql: str, *expressions: str, grid: bool = True) -> None:
+    """A query of several expressions over click (a) and view (b): columns e0, e1, ..."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "DEF:b=events:view:AVERAGE")
+        rows = s.aligned(["a", "b"], s.series["a"].start, s.series["a"].end, HOUR).withColumn("series", F.lit("x"))
+        g = Grid(step=HOUR, now=END)
+        columns = [Expression.parse(e).column({"a": F.col("a"), "b": F.col("b")}, g) for e in expressions]
+        return rows.select("ts", *[F.round(c, 9).alias(f"e{i}") for i, c in enumerate(columns)])
+
+    made = ", ".join(f"round(({x.strip()})::DOUBLE, 9) AS e{i}" for i, x in enumerate(sql.split(";")))
+    query(f"WITH {AB} SELECT ts, {made} FROM w", name)(f)
+
+
+rpn("rpn_arith", "a + b; a - b; a * b; CASE WHEN b <> 0 THEN a / b END; CASE WHEN b <> 0 THEN fmod(a, b) END; pow(a, 2); atan2(a, b)", "a,b,+", "a,b,-", "a,b,*", "a,b,/", "a,b,%", "a,2,POW", "a,b,ATAN2")
+rpn("rpn_addnan", "coalesce(CASE WHEN a > 50 THEN a END + b, CASE WHEN a > 50 THEN a END, b)", "a,50,GT,a,UNKN,IF,b,ADDNAN")
+rpn("rpn_compare_if", "(a < b)::INT; (a <= b)::INT; (a > b)::INT; (a >= b)::INT; (a = b)::INT; (a <> b)::INT; CASE WHEN a > b THEN a ELSE b END; (CASE WHEN a >= 50 THEN a END IS NULL)::INT; 1", "a,b,LT", "a,b,LE", "a,b,GT", "a,b,GE", "a,b,EQ", "a,b,NE", "a,b,GT,a,b,IF", "a,50,INF,LIMIT,UN", "NEGINF,ISINF")
+rpn("rpn_limit", "CASE WHEN a BETWEEN 20 AND 70 THEN a END; CASE WHEN b BETWEEN 40 AND 60 THEN b END", "a,20,70,LIMIT", "b,40,60,LIMIT")
+rpn("rpn_minmax_nan", "least(a, b); greatest(a, b); least(CASE WHEN a > 50 THEN a END, b); greatest(CASE WHEN a > 50 THEN a END, b); CASE WHEN a > 50 THEN least(a, b) END", "a,b,MIN", "a,b,MAX", "a,50,INF,LIMIT,b,MINNAN", "a,50,INF,LIMIT,b,MAXNAN", "a,50,INF,LIMIT,b,MIN")
+rpn("rpn_math", "sin(a); cos(a); ln(abs(a)); exp(a / 100); atan(a); sqrt(abs(a)); abs(a - b); a * 0.0174532952; a * 57.29577951", "a,SIN", "a,COS", "a,ABS,LOG", "a,100,/,EXP", "a,ATAN", "a,ABS,SQRT", "a,b,-,ABS", "a,DEG2RAD", "a,RAD2DEG")
+rpn("rpn_rounding", "floor(a); ceil(a); sign(a - b) * floor(abs(a - b) + 0.5)", "a,FLOOR", "a,CEIL", "a,b,-,ROUND")
+rpn("rpn_stack", "a + a; b - a; a; 2; a + b + a + b; a; b * 10 + a", "a,DUP,+", "a,b,EXC,-", "a,b,POP", "a,b,DEPTH,EXC,POP,EXC,POP", "a,b,2,COPY,+,+,+", "a,b,2,INDEX,EXC,POP,EXC,POP", "b,10,*,a,+")
+rpn("rpn_sort_rev", "least(a, b, 50) + 10 * (a + b + 50 - least(a, b, 50) - greatest(a, b, 50)) + 100 * greatest(a, b, 50); 50 + 10 * b + 100 * a", "a,b,50,3,SORT,100,*,EXC,10,*,+,+", "a,b,50,3,REV,100,*,EXC,10,*,+,+")
+rpn("rpn_setops", "(a + b + 30) / 3; least(a, b, 30); greatest(a, b, 30); list_sort([a, b, 30.0])[2]; list_stddev_samp([a, b, 30.0])", "a,b,30,3,AVG", "a,b,30,3,SMIN", "a,b,30,3,SMAX", "a,b,30,3,MEDIAN", "a,b,30,3,STDEV")
+rpn("rpn_percent", "list_sort([a, b, 30.0, 70.0])[2]; list_sort([a, b, 30.0, 70.0])[4]", "a,b,30,70,50,4,PERCENT", "a,b,30,70,95,4,PERCENT")
+rpn("rpn_calendar", f"ts; {END}; 3600; (ts % 86400 < 3600)::INT; ((ts + 345600) // 604800 <> (ts - 3600 + 345600) // 604800)::INT; (month(to_timestamp(ts) AT TIME ZONE 'UTC') <> month(to_timestamp(ts - 3600) AT TIME ZONE 'UTC'))::INT; ts", "TIME", "NOW", "STEPWIDTH", "NEWDAY", "NEWWEEK", "NEWMONTH", "LTIME")
+rpn("rpn_count", "row_number() OVER (ORDER BY ts)", "COUNT")
+rpn("rpn_prev_of", "a - lag(a) OVER (ORDER BY ts)", "a,PREV(a),-")
+rpn("rpn_prev_sum", "sum(a) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)", "a,PREV,ADDNAN")
+rpn("rpn_trend", "CASE WHEN row_number() OVER (ORDER BY ts) >= 4 AND count(a) OVER t = 4 THEN avg(a) OVER t END".replace("OVER t", "OVER (ORDER BY ts ROWS 3 PRECEDING)"), "a,14400,TREND")
+rpn("rpn_trendnan", "CASE WHEN row_number() OVER (ORDER BY ts) >= 4 THEN avg(CASE WHEN a BETWEEN 40 AND 60 THEN a END) OVER (ORDER BY ts ROWS 3 PRECEDING) END", "a,40,60,LIMIT,14400,TRENDNAN")
+_SAMPLES = "list_filter([lag(a, 23) OVER o, lag(a, 24) OVER o, lag(a, 47) OVER o, lag(a, 48) OVER o], lambda x: x IS NOT NULL)".replace("OVER o", "OVER (ORDER BY ts)")
+rpn("rpn_predict", f"list_avg({_SAMPLES})", "86400,172800,2,3600,a,PREDICT")
+rpn("rpn_predictsigma", f"CASE WHEN len({_SAMPLES}) > 1 THEN list_stddev_samp({_SAMPLES}) END", "86400,172800,2,3600,a,PREDICTSIGMA")
+rpn("rpn_predictperc", f"CASE WHEN len({_SAMPLES}) > 0 THEN list_aggregate({_SAMPLES}, 'quantile_cont', 0.9) END", "86400,172800,2,3600,90,a,PREDICTPERC")
+
+
+# aggregates over series
+
+FINITE = f"WITH {HOURLY}, n AS (SELECT DISTINCT series FROM pdp), s AS (SELECT n.series, t AS ts, p.v FROM n, range({START + HOUR}, {END + HOUR + 1}, {HOUR}) AS r(t) LEFT JOIN pdp p ON p.series = n.series AND p.ts = t), i AS (SELECT *, (ts - {START + HOUR}) / 3600.0 AS x FROM s WHERE v IS NOT NULL)"
+VDEFS = {
+    "MAXIMUM": "max(v) AS value, (arg_max(-ts, v) * -1) AS time", "MINIMUM": "min(v) AS value, arg_min(ts, v) AS time", "AVERAGE": "avg(v) AS value, NULL AS time", "STDEV": "stddev_pop(v) AS value, NULL AS time",
+    "LAST": "arg_max(v, ts) AS value, max(ts) AS time", "FIRST": "arg_min(v, ts) AS value, min(ts) - 3600 AS time", "TOTAL": "sum(v) * 3600 AS value, NULL AS time",
+    "LSLSLOPE": "regr_slope(v, x) AS value, NULL AS time", "LSLINT": "regr_intercept(v, x) AS value, NULL AS time", "LSLCORREL": "corr(v, x) AS value, NULL AS time",
+}
+
+
+def _vdef(function: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = database(spark, sf_dir)
+        rows = fetch.fetch(s.points, s.db, "AVERAGE", START, END)[0]
+        return out(vdef.vdef(rows, function, HOUR, 95 if function.startswith("PERCENT") else None), 4 if function == "TOTAL" else 9)
+
+    return f
+
+
+for _f in vdef.FUNCTIONS:
+    if _f.startswith("PERCENT"):
+        _only = " WHERE v IS NOT NULL" if _f == "PERCENTNAN" else ""
+        _sql = f", k AS (SELECT series, v, row_number() OVER (PARTITION BY series ORDER BY v NULLS FIRST) - 1 AS k, count(*) OVER (PARTITION BY series) AS c FROM s{_only}) SELECT series, round(v, 9) AS value, NULL::BIGINT AS time FROM k WHERE k = floor(95 * (c - 1) / 100 + 0.5)"
+    else:
+        _sql = f", r AS (SELECT series, {VDEFS[_f]} FROM i GROUP BY series) SELECT n.series, round(value, {4 if _f == 'TOTAL' else 9}) AS value, time::BIGINT AS time FROM n LEFT JOIN r USING (series)"
+    query(FINITE + _sql, f"vdef_{_f.lower()}")(_vdef(_f))
+
+
+# scripts
+
+SIX = rra_sql("AVERAGE", 6, 400)
+
+
+@query(f"WITH {SIX}, a AS {series_sql('click')}, b AS {series_sql('view', 6 * HOUR)} SELECT a.ts, round(a.v + b.v, 9) AS c FROM a LEFT JOIN b ON b.ts = (a.ts + 21599) // 21600 * 21600 WHERE a.ts <= {END}")
+def cdef_mixed_step(spark, sf_dir):
+    return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "DEF:b=events:view:AVERAGE:step=21600", "CDEF:c=a,b,+", "XPORT:c").export())
+
+
+@query(f"WITH {HOURLY}, a AS {series_sql('click')} SELECT t AS ts, round(a.v, 9) AS a FROM range({START + HOUR}, {END + 1}, {HOUR}) AS r(t) LEFT JOIN a ON a.ts = t - 7200 WHERE true")
+def shift(spark, sf_dir):
+    return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "SHIFT:a:9000", "XPORT:a").export())
+
+
+@query(f"WITH {HOURLY}, a AS {series_sql('click')}, g AS (SELECT (ts + 14399) // 14400 * 14400 AS te, max(v) AS v FROM a GROUP BY te) SELECT te AS ts, round(CASE WHEN te <= {END} THEN v END, 9) AS a FROM g WHERE te <= {-(-END // 14400) * 14400}")
+def def_reduce(spark, sf_dir):
+    s = database(spark, sf_dir)
+    rows, first, last, slot = fetch.fetch(s.points.where("series = 'click'"), s.db, "AVERAGE", START, END)
+    rows, _ = consolidate.reduced(rows, slot, 4 * HOUR, "MAX", first, END)
+    return out(rows.where(F.col("ts") <= END).select("ts", F.col("v").alias("a")))
+
+
+@query(f"WITH {HOURLY}, a AS {series_sql('click')}, b AS {series_sql('view')} SELECT a.ts, round(a.v, 9) AS click, round(b.v * 2, 9) AS doubled FROM a JOIN b USING (ts) WHERE a.ts <= {END}")
+def xport_grid(spark, sf_dir):
+    return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "DEF:b=events:view:AVERAGE", "CDEF:c=b,2,*", "XPORT:a:click", "XPORT:c:doubled").export())
+
+
+@query(f"WITH {HOURLY}, a AS {series_sql('click')} SELECT ts, round(v - (SELECT avg(v) FROM a), 9) AS c FROM a WHERE ts <= {END}")
+def vdef_in_cdef(spark, sf_dir):
+    return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "VDEF:m=a,AVERAGE", "CDEF:c=a,m,-", "XPORT:c").export())
+
+
+@query(f"WITH {AB} SELECT ts, round(a, 9) AS a, round(a + b, 9) AS b FROM w WHERE ts <= {END}")
+def stack_columns(spark, sf_dir):
+    return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "DEF:b=events:view:AVERAGE", "AREA:a#ff0000", "STACK:b#00ff00").stacked())
+
+
+@query(f"WITH {HOURLY}, a AS {series_sql('click')} SELECT ts, round(v, 9) AS v FROM a WHERE v BETWEEN 45 AND 55")
+def tick_marks(spark, sf_dir):
+    return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "CDEF:t=a,45,55,LIMIT", "TICK:t#ff0000").ticks("t"))
+
+
+@query(f"WITH {HOURLY}, a AS {series_sql('click')} SELECT round(avg(v), 9) AS average, round(min(v), 9) AS least, round(max(v), 9) AS most FROM a")
+def print_values(spark, sf_dir):
+    s = script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "PRINT:a:AVERAGE:%lf", "PRINT:a:MIN:%lf", "PRINT:a:MAX:%lf")
+    rows = [p.select(F.col("value").alias(n)) for (p, _), n in zip(s.prints, ("average", "least", "most"))]
+    return out(rows[0].crossJoin(rows[1]).crossJoin(rows[2]))  # one row each
+
+
+@query()
+def cdef_recurrence(spark, sf_dir):
+    return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "CDEF:c=PREV,UN,a,PREV,0.9,*,a,0.1,*,+,IF", "XPORT:c").export())
+
+
+# forecasting: sequential; checked against recurrences written out in the tests
+
+for _n, _m in (("hw_predict", forecast.Model(24)), ("mhw_predict", forecast.Model(24, multiplicative=True)), ("hw_failures", forecast.Model(24, delta_pos=1.0, delta_neg=1.0, window=6, threshold=3))):
+
+    def _hw(spark: SparkSession, sf_dir: str, m: forecast.Model = _m) -> DataFrame:
+        return out(forecast.forecast(hourly(spark, sf_dir), m))
+
+    query(None, _n)(_hw)
+
+
+# maintenance
+
+
+@query(f"WITH {rra_sql('AVERAGE', 12, 100)}{PICK}")
+def tune_backfill(spark, sf_dir):
+    s = database(spark, sf_dir)
+    return out(admin.backfilled(s.points, s.db, Archive("AVERAGE", 0.5, 12, 100)))
+
+
+@query(f"WITH {rra_sql('AVERAGE', 6, 20)}{PICK}")
+def resize_shrink(spark, sf_dir):
+    s = database(spark, sf_dir)
+    return out(admin.resized(s.points, s.db, 1, -380)[0].where("rra = 1").select("series", "ts", "v"))
+
+
+@query(f"WITH {rra_sql('AVERAGE', 6, 400)}{PICK}")
+def step_change(spark, sf_dir):
+    s = database(spark, sf_dir)
+    finer = s.db.restepped(4)
+    rows = fetch.fetch(s.points, finer, "AVERAGE", finer.last_update - 400 * 21600 - 21600, finer.last_update - 21600, 21600)[0]
+    kept = s.points.where("rra = 1").select("series", "ts")
+    return out(rows.join(kept, ["series", "ts"], "left_semi").unionByName(s.points.where("rra = 1").select("series", "ts", "v").join(rows, ["series", "ts"], "left_anti")))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as gauges, consolidated to six hours, doubled, with their maximum beside them."""
+    s = script(spark, sf_dir, "DEF:x=events:click:AVERAGE:step=21600", "CDEF:c=x,2,*", "VDEF:m=c,MAXIMUM", "CDEF:top=c,0,*,m,+", "XPORT:c", "XPORT:top")
+    return out(s.export())
+
+
+query(f"WITH {SIX}, b AS {series_sql('click', 6 * HOUR)} SELECT ts, round(2 * v, 9) AS c, round((SELECT max(2 * v) FROM b) + 0 * v, 9) AS top FROM b WHERE ts <= {END}")(flagship)
