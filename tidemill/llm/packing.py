@@ -17,24 +17,25 @@ document like any other; repeated rows are packed each; an empty table gives no
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: The split before byte-pair merges that the tokenizer file names.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts with other characters go through the tokenizer whole: their classes may differ between
+#: releases of Unicode. A special token's string may occur in any text.
+_OTHER = re.compile("[^\\t\\n\\r -~\u00a1-\u024f]")
 
-#: Texts with anything else go through the tokenizer whole: classes of other characters may differ
-#: between releases of Unicode, and a special token's string may occur.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*+")
+#: The same split for the characters that are left, with their classes written out.
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t\\n\\r "
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 class Tokens:
@@ -43,9 +44,9 @@ class Tokens:
     def __init__(self, path: str, keep: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split, self.keep = Tokenizer.from_file(path), regex.compile(SPLIT), keep
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
         class Known(dict):
             def __missing__(known, word: str) -> bytes:
@@ -60,9 +61,9 @@ class Tokens:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or self.special and self.special.search(text):
+        if _OTHER.search(text) or self.special and self.special.search(text):
             return self.plainly(text)
-        return b"".join(map(self.known.__getitem__, self.split.findall(text)))
+        return b"".join(map(self.known.__getitem__, _SPLIT.findall(text)))
 
 
 class SegmentTree:
