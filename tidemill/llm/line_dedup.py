@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import common
 
@@ -174,7 +175,7 @@ def deduplicated(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def kept_text(text: pd.Series, keep: pd.Series, n_lines: pd.Series) -> pd.Series:
     each = zip(text, keep, n_lines)
     return pd.Series([None if t is None else kept(t.encode(), k, n).decode() for t, k, n in each])
