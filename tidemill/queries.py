@@ -253,7 +253,8 @@ rpn("rpn_prev_of", "a - lag(a) OVER (ORDER BY ts)", "a,PREV(a),-")
 rpn("rpn_prev_sum", "sum(a) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)", "a,PREV,ADDNAN")
 rpn("rpn_trend", "CASE WHEN row_number() OVER (ORDER BY ts) >= 4 AND count(a) OVER t = 4 THEN avg(a) OVER t END".replace("OVER t", "OVER (ORDER BY ts ROWS 3 PRECEDING)"), "a,14400,TREND")
 rpn("rpn_trendnan", "CASE WHEN row_number() OVER (ORDER BY ts) >= 4 THEN avg(CASE WHEN a BETWEEN 40 AND 60 THEN a END) OVER (ORDER BY ts ROWS 3 PRECEDING) END", "a,40,60,LIMIT,14400,TRENDNAN")
-_SAMPLES = "list_filter([lag(a, 23) OVER o, lag(a, 24) OVER o, lag(a, 47) OVER o, lag(a, 48) OVER o], lambda x: x IS NOT NULL)".replace("OVER o", "OVER (ORDER BY ts)")
+#: Offsets 24, 25, 48 and 49, each only from the row on whose index (from 0) is above it.
+_SAMPLES = "list_filter([" + ", ".join(f"CASE WHEN row_number() OVER (ORDER BY ts) - 1 > {o} THEN lag(a, {o - 1}) OVER (ORDER BY ts) END" for o in (24, 25, 48, 49)) + "], lambda x: x IS NOT NULL)"
 rpn("rpn_predict", f"list_avg({_SAMPLES})", "86400,172800,2,3600,a,PREDICT")
 rpn("rpn_predictsigma", f"CASE WHEN len({_SAMPLES}) > 1 THEN list_stddev_samp({_SAMPLES}) END", "86400,172800,2,3600,a,PREDICTSIGMA")
 rpn("rpn_predictperc", f"CASE WHEN len({_SAMPLES}) > 0 THEN list_aggregate({_SAMPLES}, 'quantile_cont', 0.9) END", "86400,172800,2,3600,90,a,PREDICTPERC")
