@@ -43,7 +43,7 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: SQL cannot express fingerprints, tiling or tokens; the tests cover the stages' operators, run() as a whole not yet.
+#: SQL cannot express fingerprints, tiling or tokens; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
