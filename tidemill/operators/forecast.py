@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..schema import Database
+
 
 @dataclass(frozen=True)
 class Model:
@@ -27,6 +29,17 @@ class Model:
     threshold: int = 7
     smoothing: float = 0.05
 
+    @classmethod
+    def of(cls, db: Database) -> Model:
+        """The model that a database's archives describe."""
+        first = {a.cf: a for a in reversed(db.archives)}
+        main = first.get("HWPREDICT") or first.get("MHWPREDICT")
+        if main is None:
+            raise ValueError("no archive predicts")
+        season, deviation, failures = (first[k].params if k in first else {} for k in ("SEASONAL", "DEVSEASONAL", "FAILURES"))
+        own = {k: failures[k] for k in ("delta_pos", "delta_neg", "window", "threshold") if k in failures}
+        return cls(main.params["period"], main.params["alpha"], main.params["beta"], season.get("gamma", 0.1), deviation.get("gamma"), main.cf == "MHWPREDICT", smoothing=season.get("smoothing_window", 0.05), **own)
+
     def remove(self, a: float, b: float) -> float:
         if not self.multiplicative:
             return a - b
@@ -92,6 +105,12 @@ class State:
             self.seasons += 1
         return p, new, new_d, d, failure
 
+    def reset(self) -> None:
+        """Forget what was learnt, as after a change of what is measured; the place in the season stays."""
+        n, w = len(self.season), len(self.flags)
+        self.level = self.trend = math.nan
+        self.gap, self.season, self.deviation, self.flags = 1, [math.nan] * n, [math.nan] * n, [0] * w
+
     def smooth(self, m: Model) -> None:
         """Centred circular means of both seasonal rows; the additive season is centred on 0 and
         the multiplicative one on 1, the difference going to the level."""

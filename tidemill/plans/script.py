@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import formats, times
 from ..functions.rpn import Expression, Grid
 from ..operators import consolidate, fetch
 from ..operators import vdef as aggregates
@@ -62,9 +63,17 @@ class Script:
     scalars: dict[str, DataFrame] = field(default_factory=dict)
     exports: list[tuple[str, str]] = field(default_factory=list)
     drawn: list[tuple[str, str, bool]] = field(default_factory=list)
-    prints: list[tuple[DataFrame, str]] = field(default_factory=list)
+    prints: list[tuple[DataFrame, ...]] = field(default_factory=list)
     fetched: dict[tuple, Series] = field(default_factory=dict)
 
+    @classmethod
+    def between(cls, start: str, end: str, sources: dict[str, Source], now: int, zone: str = "UTC", step: int = 1, rows: int | None = None) -> Script:
+        """A script over a window of at-style times; rows: so many at most, by a coarser step."""
+        first, last = times.window(start, end, now, zone)
+        if first < times.EPOCH_FROM:
+            raise ValueError(f"the first entry to fetch should be after 1980 ({first})")
+        return cls(first, last, sources, max(step, (last - first) // rows) if rows else step, now, zone)
+
     def run(self, *elements: str) -> Script:
         for e in elements:
             kind, _, rest = e.partition(":")
@@ -88,7 +97,9 @@ class Script:
     def def_(self, name: str, body: str) -> None:
         where, ds, cf, *options = fields(body)
         how = dict(o.split("=", 1) for o in options)
-        start, end, step = int(how.get("start", self.start)), int(how.get("end", self.end)), int(how.get("step", self.step))
+        start, end, step = self.start, self.end, int(how.get("step", self.step))
+        if "start" in how or "end" in how:
+            start, end = times.window(how.get("start", str(start)), how.get("end", str(end)), self.now, self.zone)
         key = (where, ds, cf, start, end, step, how.get("reduce"))
         if key not in self.fetched:
             source = self.sources[where]
@@ -197,7 +208,7 @@ class Script:
 
     def print(self, name: str, *rest: str) -> None:
         if name in self.scalars:
-            self.prints.append((self.scalars[name], rest[0]))
+            self.prints.append((self.scalars[name], *rest))
             return
         cf, template = rest
         cf = {"FAILURES": "MAX"}.get(cf, cf if cf in ("AVERAGE", "MIN", "MAX", "LAST") else "AVERAGE")
@@ -207,6 +218,27 @@ class Script:
         self.prints.append((s.rows.agg(value.alias("value")).withColumn("time", F.lit(None).cast("long")), template))
 
 
+    def printed(self, base: int = 1000) -> list[str]:
+        """The texts of all PRINT elements in order: each is one value, its format and perhaps strftime,
+        valstrftime or valstrfduration."""
+        out, kept = [], None
+        for rows, template, *how in self.prints:
+            got = rows.first()
+            value = got["value"] if got else None
+            if not how:
+                text, kept = formats.number(template, value, base, kept)
+            elif how == ["strftime"]:
+                text = formats.time(template, got["time"] if got else None, self.zone)
+            elif how == ["valstrftime"]:
+                text = formats.time_of_value(template, value)
+            elif how == ["valstrfduration"]:
+                text = formats.duration(template, value)
+            else:
+                raise ValueError(f'Unused Arguments "{":".join(how)}"')
+            out.append(text)
+        return out
+
+
 # "def" is a word of the language
 setattr(Script, "def", Script.def_)
 

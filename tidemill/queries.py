@@ -6,7 +6,11 @@ event ids, a gauge of order prices for each priority (daily steps).
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +19,8 @@ from .functions.rpn import Expression, Grid
 from .operators import admin, consolidate, fetch, forecast, ingest, vdef
 from .plans.script import Script, Source
 from .schema import Archive, Database, DataSource
+from .sources import dump, exports, rrd
+from .streaming import readings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -377,6 +383,81 @@ def step_change(spark, sf_dir):
     return out(rows.join(kept, ["series", "ts"], "left_semi").unionByName(s.points.where("rra = 1").select("series", "ts", "v").join(rows, ["series", "ts"], "left_anti")))
 
 
+# files and texts
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see: below the one that the cluster names."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    folder = f"{urlparse(named).path if named else tempfile.gettempdir()}/tidemill-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return folder
+
+
+STORED = f"WITH {rra_sql('AVERAGE', 6, 400)}, n AS (SELECT DISTINCT series, last FROM rra JOIN e USING (series)), l AS (SELECT max(CAST(floor(epoch(ts)) AS BIGINT)) // 21600 * 21600 AS t FROM events), g AS (SELECT n.series, l.t - 21600 * i AS ts FROM (SELECT DISTINCT series FROM n) n, l, range(400) AS r(i)) SELECT g.series, g.ts, round(rra.v, 9) AS v FROM g LEFT JOIN rra ON rra.series = g.series AND rra.ts = g.ts"
+
+
+@query(STORED)
+def rrd_file(spark, sf_dir):
+    """The database written as a round-robin file and one of its archives read through the source."""
+    s, folder = database(spark, sf_dir), shared_folder(spark)
+    with open(f"{folder}/events.rrd", "wb") as f:
+        f.write(rrd.encode(rrd.filled(s.db, s.points)))
+    return out(rrd.load(spark, folder).where("rra = 1").select("series", "ts", "v"))
+
+
+@query(STORED)
+def dump_restore(spark, sf_dir):
+    """The same by way of an XML dump, which keeps eleven digits."""
+    s, folder = database(spark, sf_dir), shared_folder(spark)
+    rounded = s.points.withColumn("v", F.round("v", 9))
+    with open(f"{folder}/events.rrd", "wb") as f:
+        f.write(rrd.encode(dump.restore(dump.dump(rrd.filled(s.db, rounded)))))
+    return out(rrd.load(spark, folder).where("rra = 1").select("series", "ts", "v"))
+
+
+def text_sql(row: str, head: list[str], tail: list[str] = (), unknown: str = "NaN") -> str:
+    value = lambda c: f"coalesce(printf('%.10e', round({c}, 9)), '{unknown}')"
+    fixed = [f"SELECT {p} AS part, CAST({i} AS BIGINT) AS place, '{x}' AS line" for p, lines in ((0, head), (2, tail)) for i, x in enumerate(lines)]
+    return f"WITH {AB} " + " UNION ALL ".join([*fixed, f"SELECT 1, ts, {row.format(a=value('a'), b=value('b'))} FROM w WHERE ts <= {END}"])
+
+
+def two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "DEF:b=events:view:AVERAGE", "XPORT:a:click", "XPORT:b:view").export())
+
+
+@query(text_sql('ts || \',"\' || {a} || \'","\' || {b} || \'"\'', ['"time","click","view"']))
+def export_csv(spark, sf_dir):
+    return exports.export(two_columns(spark, sf_dir), "CSV", START, END, HOUR)
+
+
+@query(text_sql("'    <row><t>' || ts || '</t><v0>' || {a} || '</v0><v1>' || {b} || '</v1></row>'", ['<?xml version="1.0" encoding="ISO-8859-1"?>', "", "<xport>", "  <meta>", f"    <start>{START + HOUR}</start>", f"    <end>{END}</end>", "    <step>3600</step>", f"    <rows>{(END - START) // HOUR}</rows>", "    <columns>2</columns>", "    <legend>", "      <entry>click</entry>", "      <entry>view</entry>", "    </legend>", "  </meta>", "  <data>"], ["  </data>", "</xport>"]))
+def export_xml(spark, sf_dir):
+    return exports.export(two_columns(spark, sf_dir), "XMLENUM", START, END, HOUR)
+
+
+@query(text_sql(f"'    [ ' || {{a}} || ', ' || {{b}} || CASE WHEN ts < {END} THEN ' ],' ELSE ' ]' END", ['{ "about": "RRDtool graph JSON output",', '  "meta": {', f'    "start": {START + HOUR},', f'    "end": {END},', '    "step": 3600,', '    "legend": [', '      "click",', '      "view"', "          ]", "     },", '  "data": ['], ["  ]", "}"], "null"))
+def export_json(spark, sf_dir):
+    return exports.export(two_columns(spark, sf_dir), "JSON", START, END, HOUR)
+
+
+@query(text_sql("lpad(CAST(ts AS VARCHAR), 10, ' ') || ': ' || {a} || ' ' || {b}", [" " * 11 + "click".rjust(20) + "view".rjust(20), ""], unknown="nan"))
+def fetch_listing(spark, sf_dir):
+    return exports.listing(two_columns(spark, sf_dir))
+
+
+@query("WITH a AS (SELECT event_type AS series, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id AS id FROM events) SELECT series, 'x' AS ds, ts, CAST(id AS VARCHAR) AS v FROM a UNION ALL SELECT series, 'y', ts, NULL FROM a UNION ALL SELECT series, 'z', ts, CASE WHEN id % 3 <> 0 THEN CAST(id % 10 AS VARCHAR) END FROM a")
+def update_arguments(spark, sf_dir):
+    lines = events(spark, sf_dir, "cast(event_id as string)").selectExpr("series", "concat_ws(':', ts, if(seq % 3 = 0, 'U', string(seq % 10)), v) AS line")
+    return readings.arguments(lines, ["x", "y", "z"], ["z", "x"], keep=("series",))
+
+
+@query(f"WITH {HOURLY}, a AS {series_sql('click')} SELECT ts, round(v, 9) AS click FROM a WHERE ts <= {END}")
+def at_style_window(spark, sf_dir):
+    sources = {"events": database(spark, sf_dir)}
+    return out(Script.between("end-10d", "20240116 00:00", sources, now=END).run("DEF:a=events:click:AVERAGE", "XPORT:a:click").export())
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as gauges, consolidated to six hours, doubled, with their maximum beside them."""
     s = script(spark, sf_dir, "DEF:x=events:click:AVERAGE:step=21600", "CDEF:c=x,2,*", "VDEF:m=c,MAXIMUM", "CDEF:top=c,0,*,m,+", "XPORT:c", "XPORT:top")

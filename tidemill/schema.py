@@ -12,6 +12,15 @@ SEASONAL_KINDS = ("HWPREDICT", "MHWPREDICT", "SEASONAL", "DEVSEASONAL", "DEVPRED
 #: Seconds of each duration suffix.
 SUFFIXES = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "M": 2678400, "y": 31622400}
 
+#: The archives that each tuning option is for, and its name among their parameters.
+TUNING = {
+    "alpha": (("HWPREDICT", "MHWPREDICT"), "alpha"), "beta": (("HWPREDICT", "MHWPREDICT"), "beta"),
+    "gamma": (("SEASONAL",), "gamma"), "gamma-deviation": (("DEVSEASONAL",), "gamma"),
+    "smoothing-window": (("SEASONAL",), "smoothing_window"), "smoothing-window-deviation": (("DEVSEASONAL",), "smoothing_window"),
+    "deltapos": (("FAILURES",), "delta_pos"), "deltaneg": (("FAILURES",), "delta_neg"),
+    "window-length": (("FAILURES",), "window"), "failure-threshold": (("FAILURES",), "threshold"),
+}
+
 _NAME = re.compile(r"[A-Za-z0-9_-]{1,19}\Z")
 
 
@@ -128,6 +137,24 @@ class Database:
             raise ValueError(f"unknown data source name {name!r}")
         return replace(self, sources=tuple(replace(s, **changes) if s.name == name else s for s in self.sources))
 
+    def forecast_tuned(self, option: str, value: float) -> Database:
+        """One parameter of the forecast, in the first archive of its kind."""
+        kinds, name = TUNING[option]
+        at = next((i for i, a in enumerate(self.archives) if a.cf in kinds), None)
+        if at is None:
+            raise ValueError(f"no archive has a parameter {option!r}")
+        if name in ("window", "threshold"):
+            held = self.archives[at].params | {name: int(value)}
+            if not 1 <= int(value) <= 28 or held["threshold"] > held["window"]:
+                raise ValueError("the failure window is 1 to 28 and no shorter than the threshold")
+        elif name.startswith("delta"):
+            if value < 0:
+                raise ValueError("a delta is not negative")
+        elif not 0 <= value <= 1:
+            raise ValueError("Holt-Winters parameter must be between 0 and 1")
+        new = int(value) if name in ("window", "threshold") else float(value)
+        return replace(self, archives=tuple(replace(a, params=a.params | {name: new}) if i == at else a for i, a in enumerate(self.archives)))
+
     def without_source(self, name: str) -> Database:
         return replace(self, sources=tuple(s for s in self.sources if s.name != name))
 
