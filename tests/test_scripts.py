@@ -16,7 +16,7 @@ def test_printed_texts(spark):
     s = Script.between("end-20s", str(T0 + 20), {}, now=T0 + 20).define("a", rows, T0, T0 + 20, 10)
     s.run("VDEF:m=a,MAXIMUM", "VDEF:n=a,AVERAGE", "PRINT:m:%.1lf %s", "PRINT:m:%Y %T:strftime".replace("%T", "%H"), "PRINT:n:%Y:strftime", "PRINT:a:MIN:%lf", "PRINT:m::valstrfduration")
     assert (s.start, s.end) == (T0, T0 + 20)
-    assert s.printed() == ["2.5 k", "2001 01", "----", "1500.000000", "00:00:02"]
+    assert s.printed() == ["2.5 k", "2001 01", "----", "1500.000000", "0:00:02"]
     with pytest.raises(ValueError):
         Script.between("1979-01-01", "now", {}, now=T0)
     assert Script.between("end-1000s", str(T0), {}, now=T0, rows=10).step == 100
