@@ -42,3 +42,25 @@ def test_aberrant_reset():
     at = state.at
     state.reset()
     assert math.isnan(state.level) and all(map(math.isnan, state.season)) and state.at == at and not any(state.flags)
+
+
+def test_recurrences(spark):
+    v = [4.0, None, 9.0, 16.0, 1.0, -2.0]
+    rows = spark.createDataFrame([(T0 + 10 * (i + 1), x) for i, x in enumerate(v)], "ts long, v double")
+    s = Script(T0, T0 + 60, {}).define("a", rows, T0, T0 + 60, 10)
+
+    def of(text):
+        s.run(f"CDEF:c{len(s.series)}=a,POP,{text}")
+        return [r["v"] for r in s.series[f"c{len(s.series) - 1}"].rows.orderBy("ts").collect()]
+
+    assert of("a,SQRT,PREV,UN,0,PREV,IF,MAXNAN") == [2, 2, 3, 4, 4, 4]
+    assert of("PREV,a,0,20,LIMIT,2,AVG") == [4, 4, 6.5, 11.25, 6.125, 6.125]
+    assert of("COUNT,PREV,2,SORT,EXC,POP") == [1, 2, 3, 4, 5, 6]
+    assert of("PREV,UN,1,PREV,2,*,IF,5,MIN") == [1, 2, 4, 5, 5, 5]
+    assert of("a,PREV(a),-,PREV,EXC,ADDNAN") == [None, None, None, 7, -8, -11]
+    assert of("TIME,PREV,EXC,MINNAN") == [T0 + 10] * 6
+    assert of("a,20,TREND,PREV,ADDNAN") == [None, None, None, 12.5, 21, 20.5]
+    assert of("PREV,UN,7,PREV,IF,1,2,3,50,3,PERCENT,+,DUP,-") == [0] * 6
+    for bad in ("PREV,+", "PREV,20,TREND", "PREV,a,AVG", "1,PREV"):
+        with pytest.raises(ValueError):
+            of(bad)

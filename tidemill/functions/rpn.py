@@ -165,7 +165,7 @@ class Expression:
         if self.recurrent:
             rest = self.accumulates()
             if rest is None:
-                raise ValueError("this recurrence has no column form; see plans.script.recurrence")
+                raise ValueError("this recurrence has no column form; see functions.recurrence")
             return F.sum(rest.column(variables, grid)).over(grid.order().rowsBetween(Window.unboundedPreceding, 0))
         return Compiler(variables, grid or Grid()).run(self.tokens)
 

@@ -46,11 +46,12 @@ def grid(spark: SparkSession, start: int, end: int, step: int) -> DataFrame:
     return spark.range(start + step, end + 1, step).select(F.col("id").alias("ts"))
 
 
-def fetch(points: DataFrame, db: Database, cf: str, start: int, end: int, step: int = 1, keys: tuple[str, ...] = ("series",), limit: int | None = MAX_ROWS) -> tuple[DataFrame, int, int, int]:
+def fetch(points: DataFrame, db: Database, cf: str, start: int, end: int, step: int = 1, keys: tuple[str, ...] = ("series",), limit: int | None = MAX_ROWS, series: list[str] | None = None) -> tuple[DataFrame, int, int, int]:
     """(rows, first boundary, end, step). rows: keys, ts, v; what the archive lacks is unknown.
 
     points: keys, rra, ts, v. The archive and the window are filters on points, so they reach the
-    scan of a stored table.
+    scan of a stored table. series: the values of a single key, where they are known, as data sources
+    are; without it points are read once more to tell which series there are.
     """
     index = choose_archive(db, cf, start, end, step)
     slot = db.step * db.archives[index].pdp_per_row
@@ -59,9 +60,13 @@ def fetch(points: DataFrame, db: Database, cf: str, start: int, end: int, step:
     if limit is not None and count > limit:
         raise ValueError(f"{count} rows are more than {limit}")
     stored = points.where((F.col("rra") == index) & (F.col("ts") > first) & (F.col("ts") <= last))
-    series = points.where(F.col("rra") == index).select(*keys).distinct()
     # every series has every row of the grid: the rows that a fetch returns, not a join of keys
-    dense = series.withColumn("ts", F.explode(F.sequence(F.lit(first + slot), F.lit(last), F.lit(slot))))
+    if series is not None:
+        (key,) = keys
+        dense = grid(points.sparkSession, first, last, slot).select(F.explode(F.array(*map(F.lit, series))).alias(key), "ts")
+    else:
+        told = points.where(F.col("rra") == index).select(*keys).distinct()
+        dense = told.withColumn("ts", F.explode(F.sequence(F.lit(first + slot), F.lit(last), F.lit(slot))))
     rows = dense.join(stored.select(*keys, "ts", "v"), [*keys, "ts"], "left")
     return rows, first, last, slot
 

@@ -11,11 +11,11 @@ import math
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats, times
+from ..functions.recurrence import recurrence
 from ..functions.rpn import Expression, Grid
 from ..operators import consolidate, fetch
 from ..operators import vdef as aggregates
@@ -40,6 +40,9 @@ class Source:
     db: Database
     points: DataFrame
 
+    def names(self) -> list[str]:
+        return [s.name for s in self.db.sources]
+
 
 def fields(text: str) -> list[str]:
     """Parts of an element; ``\\:`` is a colon."""
@@ -103,9 +106,9 @@ class Script:
         key = (where, ds, cf, start, end, step, how.get("reduce"))
         if key not in self.fetched:
             source = self.sources[where]
-            if ds not in [s.name for s in source.db.sources]:
+            if ds not in source.names():
                 raise ValueError(f"No DS called {ds!r} in {where!r}")
-            rows, first, last, slot = fetch.fetch(source.points.where(F.col("series") == ds), source.db, cf, start, end, step)
+            rows, first, last, slot = fetch.fetch(source.points.where(F.col("series") == ds), source.db, cf, start, end, step, series=[ds])
             rows = rows.select("series", "ts", "v")
             if "reduce" in how or step > slot:
                 rows, slot = consolidate.reduced(rows, slot, step, how.get("reduce", cf), first, last)
@@ -142,7 +145,7 @@ class Script:
         rows = self.aligned(names, start, end, step).withColumn("series", F.lit(name))
         grid = Grid(step=step, now=self.now, zone=self.zone)
         if e.recurrent and e.accumulates() is None:
-            rows = recurrence(rows, e, names)
+            rows = recurrence(rows, e, {n: F.col(n) for n in names}, grid)
         else:
             rows = rows.select("ts", e.column({n: F.col(n) for n in names}, grid).alias("v"))
         self.series[name] = Series(rows, start, end, step)
@@ -242,62 +245,3 @@ class Script:
 # "def" is a word of the language
 setattr(Script, "def", Script.def_)
 
-
-def recurrence(rows: DataFrame, e: Expression, names: list[str]) -> DataFrame:
-    """ts, v of an expression over its own previous value: one Arrow batch for each series."""
-    tokens = list(e.tokens)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        out, last = [], math.nan
-        for row in pdf[names].itertuples(index=False, name=None) if names else [()] * len(pdf):
-            value = dict(zip(names, (math.nan if v is None else v for v in row)))
-            last = _scalar(tokens, value, last)
-            out.append(None if math.isnan(last) else last)
-        return pd.DataFrame({"ts": pdf["ts"], "v": pd.Series(out, index=pdf.index, dtype="float64")})
-
-    return rows.groupBy("series").applyInPandas(run, "ts long, v double")
-
-
-def _scalar(tokens: list, value: dict[str, float], last: float) -> float:
-    stack: list[float] = []
-    nan = math.isnan
-    two = {
-        "+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y,
-        "/": lambda x, y: x / y if y else (math.nan if x == 0 or nan(x) else math.copysign(math.inf, x)),
-        "%": lambda x, y: math.fmod(x, y) if y and not math.isinf(x) else math.nan,
-        "ADDNAN": lambda x, y: y if nan(x) else x if nan(y) else x + y,
-        "MIN": lambda x, y: math.nan if nan(x) or nan(y) else min(x, y), "MAX": lambda x, y: math.nan if nan(x) or nan(y) else max(x, y),
-        "MINNAN": lambda x, y: y if nan(x) else x if nan(y) else min(x, y), "MAXNAN": lambda x, y: y if nan(x) else x if nan(y) else max(x, y),
-        "LT": lambda x, y: float(x < y), "LE": lambda x, y: float(x <= y), "GT": lambda x, y: float(x > y), "GE": lambda x, y: float(x >= y), "EQ": lambda x, y: float(x == y), "NE": lambda x, y: float(x != y),
-    }
-    for kind, x in tokens:
-        if kind == "number":
-            stack.append(x)
-        elif kind == "variable":
-            stack.append(value.get(x, math.nan))
-        elif x == "PREV":
-            stack.append(last)
-        elif x in two:
-            b, a = stack.pop(), stack.pop()
-            compare = x in ("LT", "LE", "GT", "GE", "EQ", "NE")
-            stack.append(math.nan if compare and (nan(a) or nan(b)) else two[x](a, b))
-        elif x == "IF":
-            b, a, c = stack.pop(), stack.pop(), stack.pop()
-            stack.append(a if not nan(c) and c else b)
-        elif x == "UN":
-            stack.append(float(nan(stack.pop())))
-        elif x in ("UNKN", "INF", "NEGINF"):
-            stack.append({"UNKN": math.nan, "INF": math.inf, "NEGINF": -math.inf}[x])
-        elif x == "DUP":
-            stack.append(stack[-1])
-        elif x == "POP":
-            stack.pop()
-        elif x == "EXC":
-            stack[-2:] = stack[:-3:-1]
-        elif x == "ABS":
-            stack.append(abs(stack.pop()))
-        else:
-            raise ValueError(f"{x} is not available in an expression over PREV")
-    (out,) = stack
-    return out

@@ -212,7 +212,7 @@ AB = f"{HOURLY}, a AS {series_sql('click')}, b AS {series_sql('view')}, w AS (SE
 @query(f"WITH {HOURLY}, n AS (SELECT DISTINCT series FROM pdp) SELECT n.series, t AS ts, round(p.v, 9) AS v FROM n, range({START + HOUR}, {END + HOUR + 1}, {HOUR}) AS r(t) LEFT JOIN pdp p ON p.series = n.series AND p.ts = t")
 def fetch_grid(spark, sf_dir):
     s = database(spark, sf_dir)
-    return out(fetch.fetch(s.points, s.db, "AVERAGE", START, END)[0])
+    return out(fetch.fetch(s.points, s.db, "AVERAGE", START, END, series=s.names())[0])
 
 
 @query("SELECT * FROM (VALUES ('AVERAGE', 1, 0), ('AVERAGE', 21600, 1), ('MAX', 1, 0), ('MAX', 86400, 2), ('MIN', 86400, 0), ('LAST', 1, 0)) AS t(cf, step, rra)")
@@ -279,7 +279,7 @@ VDEFS = {
 def _vdef(function: str):
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = database(spark, sf_dir)
-        rows = fetch.fetch(s.points, s.db, "AVERAGE", START, END)[0]
+        rows = fetch.fetch(s.points, s.db, "AVERAGE", START, END, series=s.names())[0]
         return out(vdef.vdef(rows, function, HOUR, 95 if function.startswith("PERCENT") else None), 4 if function == "TOTAL" else 9)
 
     return f
@@ -312,7 +312,7 @@ def shift(spark, sf_dir):
 @query(f"WITH {HOURLY}, a AS {series_sql('click')}, g AS (SELECT (ts + 14399) // 14400 * 14400 AS te, max(v) AS v FROM a GROUP BY te) SELECT te AS ts, round(CASE WHEN te <= {END} THEN v END, 9) AS a FROM g WHERE te <= {-(-END // 14400) * 14400}")
 def def_reduce(spark, sf_dir):
     s = database(spark, sf_dir)
-    rows, first, last, slot = fetch.fetch(s.points.where("series = 'click'"), s.db, "AVERAGE", START, END)
+    rows, first, last, slot = fetch.fetch(s.points.where("series = 'click'"), s.db, "AVERAGE", START, END, series=["click"])
     rows, _ = consolidate.reduced(rows, slot, 4 * HOUR, "MAX", first, END)
     return out(rows.where(F.col("ts") <= END).select("ts", F.col("v").alias("a")))
 
