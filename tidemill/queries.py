@@ -344,7 +344,11 @@ def print_values(spark, sf_dir):
     return out(rows[0].crossJoin(rows[1]).crossJoin(rows[2]))  # one row each
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {HOURLY}, a AS {series_sql('click')}, n AS (SELECT row_number() OVER (ORDER BY ts) AS i, ts, v FROM a WHERE ts <= {END}),
+r AS (SELECT i, ts, v AS c FROM n WHERE i = 1 UNION ALL SELECT n.i, n.ts, CASE WHEN r.c IS NULL THEN n.v ELSE r.c * 0.9 + n.v * 0.1 END FROM r JOIN n ON n.i = r.i + 1)
+SELECT ts, round(c, 9) AS c FROM r"""
+)
 def cdef_recurrence(spark, sf_dir):
     return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "CDEF:c=PREV,UN,a,PREV,0.9,*,a,0.1,*,+,IF", "XPORT:c").export())
 
