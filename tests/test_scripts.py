@@ -64,3 +64,12 @@ def test_recurrences(spark):
     for bad in ("PREV,+", "PREV,20,TREND", "PREV,a,AVG", "1,PREV"):
         with pytest.raises(ValueError):
             of(bad)
+
+
+def test_sample_before_at_own_step(spark):
+    fine = spark.createDataFrame([(T0 + 10 * (i + 1), float(i)) for i in range(6)], "ts long, v double")
+    coarse = spark.createDataFrame([(T0 + 20, 5.0), (T0 + 40, 7.0), (T0 + 60, 1.0)], "ts long, v double")
+    s = Script(T0, T0 + 60, {}).define("a", fine, T0, T0 + 60, 10).define("b", coarse, T0, T0 + 60, 20)
+    s.run("VDEF:m=b,MAXIMUM", "CDEF:c=a,POP,PREV(b)", "CDEF:d=a,PREV(m),+", "CDEF:e=a,POP,PREV,PREV(b),ADDNAN")
+    rows = {n: [r["v"] for r in s.series[n].rows.orderBy("ts").collect()] for n in "cde"}
+    assert rows == {"c": [None, None, 5, 5, 7, 7], "d": [7, 8, 9, 10, 11, 12], "e": [None, None, 5, 10, 17, 24]}

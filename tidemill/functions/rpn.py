@@ -161,7 +161,8 @@ class Expression:
         return None
 
     def column(self, variables: dict[str, Column], grid: Grid | None = None) -> Column:
-        """The expression as a column over rows that hold all variables."""
+        """The expression as a column over rows that hold all variables; PREV(x) among them stands
+        for the sample before that of x, where the row before does not have it."""
         if self.recurrent:
             rest = self.accumulates()
             if rest is None:
@@ -204,7 +205,8 @@ class Compiler:
             elif kind == "variable":
                 self.push(self.variables[x] if x in self.variables else number(math.nan))
             elif kind == "previous":
-                self.push(F.lag(self.variables[x]).over(self.grid.order()))
+                own = self.variables.get(f"PREV({x})")
+                self.push(F.lag(self.variables[x]).over(self.grid.order()) if own is None else own)
             else:
                 self.apply(x)
         if len(self.stack) != 1:

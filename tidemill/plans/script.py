@@ -11,7 +11,7 @@ import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, times
@@ -119,15 +119,17 @@ class Script:
     # computed series
 
     def aligned(self, names: list[str], start: int, end: int, step: int) -> DataFrame:
-        """ts and a column for each name, on the grid (start, end]."""
+        """ts and a column for each name, on the grid (start, end]; PREV(name) is the sample before
+        that of the name, at the name's own step."""
         spark = next(iter(self.series.values())).rows.sparkSession
         out = fetch.grid(spark, start, end, step)
         for n in names:
             if n in self.scalars:
                 out = out.crossJoin(F.broadcast(self.scalars[n].select(F.col("value").alias(n))))  # one row
                 continue
-            s = self.series[n]
-            rows = s.rows.select(F.col("ts").alias("_end"), F.col("v").alias(n))
+            s = self.series[n.removeprefix("PREV(").removesuffix(")")]
+            v = F.lag("v").over(Window.orderBy("ts")) if n.startswith("PREV(") else F.col("v")
+            rows = s.rows.select(F.col("ts").alias("_end"), v.alias(n))
             inside = (F.col("ts") > s.start) & (F.col("ts") <= s.end)
             out = out.withColumn("_end", F.when(inside, at_end(F.col("ts"), s.start, s.step))).join(rows, "_end", "left").drop("_end")
         return out
@@ -142,12 +144,19 @@ class Script:
         start, end = max(s.start for s in used), min(s.end for s in used)
         if start > end:
             raise ValueError("the series of a CDEF have no time in common")
-        rows = self.aligned(names, start, end, step).withColumn("series", F.lit(name))
         grid = Grid(step=step, now=self.now, zone=self.zone)
+        variables = {n: F.col(n) for n in names}
+        for n in sorted({x for kind, x in e.tokens if kind == "previous"}):
+            if n in self.scalars:
+                variables[f"PREV({n})"] = F.col(n)
+            elif n in self.series and self.series[n].step != step:
+                variables[f"PREV({n})"] = F.when(F.row_number().over(grid.order()) > 1, F.col(f"PREV({n})"))
+        before = [n for n in variables if n.startswith("PREV(") and n[5:-1] in self.series]
+        rows = self.aligned([*names, *before], start, end, step).withColumn("series", F.lit(name))
         if e.recurrent and e.accumulates() is None:
-            rows = recurrence(rows, e, {n: F.col(n) for n in names}, grid)
+            rows = recurrence(rows, e, variables, grid)
         else:
-            rows = rows.select("ts", e.column({n: F.col(n) for n in names}, grid).alias("v"))
+            rows = rows.select("ts", e.column(variables, grid).alias("v"))
         self.series[name] = Series(rows, start, end, step)
 
     def vdef(self, name: str, body: str) -> None:
