@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontaminate, elias_fano, language, line_dedup, lm_score, packing, quality, simhash, suffixes, toxicity, urls
+from tidemill.llm import decontaminate, elias_fano, language, line_dedup, lm_score, packing, quality, simhash, similar, suffixes, toxicity, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k_doc string, th int, block string"
 LONG = "the quick brown fox jumps over the lazy dog and then rests. " * 400
@@ -94,6 +94,46 @@ def test_large_groups_of_near_fingerprints(spark):
     assert len({find(x) for x in fps}) == 1
 
 
+def test_near_copies_by_exact_similarity(spark, odd, none):
+    rng = np.random.default_rng(5)
+    texts = []
+    for size in (8, 20, 60, 200, 500):
+        for _ in range(4):
+            base = [f"w{x}" for x in rng.integers(0, 5000, size)]
+            for changed in (0, 1, 1, 2, size // 50, size // 40, size // 25):
+                copy = list(base)
+                for at in rng.integers(0, size, changed):
+                    copy[at] = f"x{rng.integers(0, 1 << 40)}"
+                texts.append(" ".join(copy))
+    common = " ".join(f"c{k}" for k in range(12))  # a passage alone is no similarity
+    texts += [f"{common} " + " ".join(f"y{k}z{j}" for j in range(10)) for k in range(30)] + ["", None, "a b", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shingles = [frozenset(tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))) if t else frozenset() for t in texts]
+    reach = list(range(len(texts)))
+
+    def find(x):
+        while reach[x] != x:
+            x = reach[x]
+        return x
+
+    far = 0
+    prints = [simhash.fingerprint((t or "").encode(), 5) for t in texts]
+    for i, a in enumerate(shingles):
+        for j, b in enumerate(shingles[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                far += (prints[i] ^ prints[j]).bit_count() > 4
+                reach[max(find(i), find(j))] = min(find(i), find(j))
+    assert far  # four bits of SimHash do not reach these
+    for hot in (1, 8):
+        rows = similar.grouped(docs, hot=hot).collect()
+        least = {}
+        for r in rows:
+            least[r["root"]] = min(r["k_doc"], least.get(r["root"], 1 << 62))
+        assert {r["k_doc"]: least[r["root"]] for r in rows} == {i: find(i) for i in range(len(texts))}
+    assert sorted(r["doc_id"] for r in similar.one_of_each(docs).collect()) == sorted({find(i) for i in range(len(texts))})
+    assert similar.one_of_each(odd).columns == odd.columns and similar.one_of_each(none).count() == 0
+
+
 def test_suffixes(odd, none):
     texts = [(order(r[0]), (r[1] or "").encode()) for r in ROWS]
     first = {}

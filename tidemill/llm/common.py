@@ -62,6 +62,14 @@ def identified(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def least_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs with the least (k_doc, th) of each root in rows (k_doc, th, root), once if it repeats."""
+    first = rows.groupBy("root").agg(F.min(F.struct("k_doc", "th")).alias("x")).select("x.k_doc", "x.th")
+    own = identified(docs, F.struct(*docs.columns).alias("tm_row")).drop("text")
+    kept = own.join(first, ["k_doc", "th"], "left_semi").groupBy("k_doc", "th").agg(F.first("tm_row").alias("tm_row"))
+    return kept.select(*[F.col("tm_row").getField(c).alias(c) for c in docs.columns])
+
+
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 4_000_000
 

@@ -45,17 +45,25 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 64, n, np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    words = text.lower().split()
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Of every shingle in turn; fewer words than a shingle has are one shingle."""
     if not words:
-        return 0
-    joined, n = b" ".join(words), len(words) - shingle + 1
-    if n <= 1:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.zeros(0, "<u8")
+    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    if n == 1:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[: n - 1].tolist()]
     h, digest = np.empty(n, "<u8"), xxhash.xxh64_intdigest
     h[:] = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
+    return h
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    h = shingle_hashes(text.lower().split(), shingle)
+    n = len(h)
+    if n <= 1:
+        return int(h[0]) if n else 0
     counts = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
         part = h[k : k + (1 << 16)]
@@ -175,7 +183,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
 def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFrame:
     """docs without near duplicates: of each component the row with the least doc_id stays (null
     ids last, then the least text hash), once if it repeats. Columns stay."""
-    first = grouped(docs, shingle, max_bits).groupBy("root").agg(F.min(F.struct("k_doc", "th")).alias("x")).select("x.k_doc", "x.th")
-    rows = common.identified(docs, F.struct(*docs.columns).alias("tm_row")).drop("text")
-    kept = rows.join(first, ["k_doc", "th"], "left_semi").groupBy("k_doc", "th").agg(F.first("tm_row").alias("tm_row"))
-    return kept.select(*[F.col("tm_row").getField(c).alias(c) for c in docs.columns])
+    return common.least_of_each(docs, grouped(docs, shingle, max_bits))
