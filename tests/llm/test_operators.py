@@ -94,6 +94,13 @@ def test_large_groups_of_near_fingerprints(spark):
     assert len({find(x) for x in fps}) == 1
 
 
+def test_links_of_one_step_are_all_kept():
+    root = np.arange(12)
+    i, j = np.array([(6, 7), (0, 2), (9, 11), (1, 5), (5, 9), (2, 6), (7, 11)]).T
+    simhash.unite(root, i, j)
+    assert {k for k in range(12) if root[k] == root[0]} == {0, 1, 2, 5, 6, 7, 9, 11} and (root[root] == root).all()
+
+
 def test_near_copies_by_exact_similarity(spark, odd, none):
     rng = np.random.default_rng(5)
     texts = []
