@@ -205,6 +205,29 @@ def test_best_fit_plan_is_tight():
     assert max(fill.values()) <= 2048 and len(fill) <= 1.02 * lengths.sum() / 2048 + 1
 
 
+def test_plan_is_best_fit_decreasing():
+    def plain(lengths, capacity):
+        rooms = []
+        for n in sorted(lengths, reverse=True):
+            fits = [k for k, r in enumerate(rooms) if r >= n]
+            k = min(fits, key=lambda k: rooms[k], default=len(rooms))
+            if k == len(rooms):
+                rooms.append(capacity)
+            rooms[k] -= n
+        return sorted(rooms)
+
+    rng = np.random.default_rng(4)
+    cases = [([12, 12, 3, 3, 2, 2, 2, 2, 2], 20)] + [(rng.integers(1, int(rng.integers(2, 41)), 60).tolist(), 40) for _ in range(200)]
+    for lengths, capacity in cases:
+        rooms, placed = {}, Counter()
+        for length, rank, start, offset, n in packing.plan(dict(Counter(lengths)), capacity).tolist():
+            for k in range(start, start + n):
+                assert rooms.get(k, capacity) == capacity - offset
+                rooms[k] = capacity - offset - length
+            placed[length] += n
+        assert placed == Counter(lengths) and sorted(rooms.values()) == plain(lengths, capacity)
+
+
 def test_decontamination_finds_reordered_passages(spark, odd, none):
     item = "one two three four five six seven eight nine ten eleven twelve"
     bench = spark.createDataFrame([(1, item), (2, None), (None, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")

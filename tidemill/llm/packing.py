@@ -5,8 +5,8 @@ pieces are then packed best-fit decreasing: longest first, each into the tightes
 
 Piece lengths are small integers, so the whole corpus is a histogram of at most ``capacity``
 lengths. The packing runs on that histogram: a segment tree over remaining capacities (how many
-open sequences have each) finds the tightest one in logarithmic time, and one step places as many
-equal pieces as there are equally full sequences. This is best-fit decreasing of all documents, and
+open sequences have each) finds the tightest one in logarithmic time, and one step fills as many
+equally full sequences with equal pieces as there are pieces for. This is best-fit decreasing of all documents, and
 its plan -- which ranks of which length go to which range of sequences -- does not grow with the
 corpus. A piece's rank among those of its length is its place in its partition plus the number of
 such pieces in earlier partitions, so no partition ever holds all pieces of one length.
@@ -102,18 +102,23 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
         while left:
             room = tree.tightest(length)
             if room < 0:
-                # each new sequence takes as many pieces of this length as it can
                 start, n, room = used, max(1, left // (capacity // length)), capacity
                 used += n
             else:
                 start, n = open_at[room].pop()
                 tree.add(room, -n)
-            put = min(n, left)
+                if not open_at[room]:
+                    del open_at[room]
+            # a sequence just made tighter is the tightest: it takes pieces until none fits
+            each = room // length
+            put, layers = (min(n, left // each), each) if left >= each else (1, left)
             if put < n:
-                open_at[room] = [*open_at.get(room, ()), (start + put, n - put)]
+                open_at.setdefault(room, []).append((start + put, n - put))
                 tree.add(room, n - put)
-            out.append((length, rank, start, capacity - room, put))
-            rank, left, rest = rank + put, left - put, room - length
+            for k in range(layers):
+                out.append((length, rank, start, capacity - room + k * length, put))
+                rank += put
+            left, rest = left - layers * put, room - layers * length
             if rest:
                 open_at.setdefault(rest, []).append((start, put))
                 tree.add(rest, put)
