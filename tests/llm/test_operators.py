@@ -265,3 +265,9 @@ def test_toxicity(spark, none):
     assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in rows)
     assert toxicity.toxicity(docs, labels.limit(0)).where("score <> 0").count() == 0
     assert toxicity.toxicity(none, labels).count() == 0
+
+
+def test_only_marks_with_a_text_are_drawn(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (2, "c d"), (3, None)], "doc_id long, text string")
+    marks = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    assert sorted(tuple(r) for r in toxicity.with_text(docs, marks).collect()) == [(1, 1), (2, 0)]

@@ -118,10 +118,16 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
+def with_text(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The marks of documents to learn from."""
+    return common.checkpoint(marks.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi"))
+
+
 def train(docs: DataFrame, marks: DataFrame, sample_per_class: int = 3000, discount_share: float = 0.06) -> Model:
     """docs: doc_id, text to learn from; marks: doc_id, toxic (0 or 1). The sample is drawn from the
-    ids alone and then joined to the texts, which are not shuffled: the drawn ids are expected to
-    be no more than sample_per_class of each class and those of marks without a text."""
+    ids alone and then joined to the texts, which are not shuffled: the drawn ids all have a text
+    and are expected to be no more than sample_per_class of each class."""
+    marks = with_text(docs, marks)
     counts = {int(r[0]): r[1] for r in docs.where("text is not null").select("doc_id").join(marks, "doc_id").groupBy("toxic").count().collect()}
     none = Model({}, np.zeros((0, 2)), np.zeros(0, np.int64), np.zeros((0, 2)), np.zeros((0, 2)))
     if not counts.get(0) or not counts.get(1):
