@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ def with_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
 
 
+def word_hash(word: str) -> int:
+    """64 bits of a word, as a signed number."""
+    return (xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) ^ (1 << 63)) - (1 << 63)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy in the shared folder, which survives lost executors."""
     with_checkpoint_dir(df.sparkSession)

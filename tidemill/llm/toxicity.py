@@ -1,23 +1,36 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary texts, discount their own counts and back off
-to unigrams of their class and from there to one distribution that they share: Kneser-Ney
-continuation counts of both classes together. Counts are of texts that hold an expression, and the
-discount is a share of the class's texts, so that an expression too rare in either class falls back
-on the same shared value in both and says nothing.
-
-A text is compared by the difference of its log-likelihoods per word; of a long text the windows of
-``window`` words are compared and the most toxic one counts, so that a passage is not diluted by
-what surrounds it. In a window each word speaks once. A monotone step function (isotonic
-regression) fit on the training texts turns the difference into a score.
-
-The models are fit on a bounded sample: about ``sample_per_class`` labelled documents of each
-class, chosen by a hash. Scores read text alone.
-
-Defined results: null and wordless texts have difference 0 and the score of that; rows without a
-label are scored but not learnt from; when a class has no sample every score is 0; null doc_ids
-hash as the empty text and find no label; a document labelled twice counts as toxic if one label
-says so.
+Two models, one of toxic and one of ordinary texts. An expression is a word; its count c in a class
+is the number of the class's distinct texts that hold it, so that one long text or its copies do
+not shout. With N the sum of a class's counts and T its number of expressions::
+
+    P(w | class) = max(c(w) - D, 0) / N + D * T / N * S(w)
+
+D is the class's discount by counts of counts, n1 / (n1 + 2 n2). S is shared by both classes: the
+continuation counts of both together (of how many distinct words w is the successor), plus a half
+for every expression and one for all unknown ones. Each P sums to 1.
+
+A text is compared by the log-likelihood difference of its whole length, divided by its number of
+words (plus ``prior_words``, so that one word does not decide a text of three). Chance makes
+expressions differ that do not, and a class with more texts of one language favours all its words.
+So a difference counts by what goes beyond ``errors`` standard errors of it, or beyond
+``least_difference`` where that is more; with more labelled texts the errors shrink and rarer
+expressions speak. These three were chosen by two folds inside the training part (crc32 mod 3 in
+{0, 2}); held-out texts were not looked at.
+
+The score is the share of toxic texts at a difference: a non-decreasing function (isotonic
+regression, interpolated), fit on differences of training texts under models that leave out their
+own fold of four.
+
+The models are fit on a bounded sample of distinct labelled texts: about ``toxic_sample`` and
+``ordinary_sample``, chosen by a hash of the ids. Only expressions that speak leave the executors;
+they are bounded by the sample, not by the corpus. Scores read text alone.
+
+Defined results: null and wordless texts have difference 0 and the score of that; a text of any
+length is read whole; rows without a label are scored but not learnt from; equal texts of one class
+count once and a text labelled both ways counts in both; when a class has no sample every score is
+0; null doc_ids hash as the empty text and find no label; a document labelled twice counts as toxic
+if one label says so.
 """
 
 from __future__ import annotations
@@ -35,6 +48,10 @@ from . import common
 
 _WORD = re.compile(r"[^\W_]+")
 
+#: Folds that calibrate the score; model number FOLDS is of all of them.
+FOLDS = 4
+ALL = FOLDS
+
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
@@ -42,80 +59,34 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    """Log-likelihood differences per word, ready to be looked up."""
+    """What is left to look up: by model number, the expressions that speak and what they say."""
 
-    vocabulary: dict[str, int]  # of expressions beyond the discount; 0 is any other word
-    single: np.ndarray  # by word: (toxic, ordinary) probability, up to a factor the classes share
-    pairs: np.ndarray  # sorted first * size + second
-    found: np.ndarray  # by pair: the two discounted shares
-    back: np.ndarray  # by first word: the two backoff weights
+    says: list[dict[str, float]]
+    prior_words: float = 30.0
     steps: np.ndarray = field(default_factory=lambda: np.zeros(0))
     values: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    window: int = 64
-    least_words: int = 32
 
-    def difference(self, text: str | None) -> float:
-        ws = words(text)
-        if not ws or not len(self.single):
-            return 0.0
-        w = np.fromiter((self.vocabulary.get(x, 0) for x in ws), np.int64, len(ws))
-        p = self.single[w]
-        if len(w) > 1 and len(self.pairs):
-            key = w[:-1] * len(self.single) + w[1:]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = (self.pairs[at] == key)[:, None]
-            p[1:] = self.back[w[:-1]] * p[1:] + np.where(hit, self.found[at], 0)
-        d = np.log(p[:, 0]) - np.log(p[:, 1])
-        last: dict[str, int] = {}
-        for k, x in enumerate(ws):
-            if k - last.get(x, -self.window) < self.window:
-                d[k] = 0
-            last[x] = k
-        if len(d) <= self.window:
-            return float(d.sum() / max(len(d), self.least_words))
-        total = np.concatenate([[0], np.cumsum(d)])
-        at = np.append(np.arange(0, len(d) - self.window, self.window // 2), len(d) - self.window)
-        return float(((total[at + self.window] - total[at]) / self.window).max())
+    def difference(self, text: str | None, model: int = ALL) -> float:
+        ws, says = words(text), self.says[model]
+        return sum(says.get(w, 0.0) for w in ws) / (len(ws) + self.prior_words)
 
     def score(self, text: str | None) -> float:
         if not len(self.steps):
             return 0.0
-        return float(self.values[max(0, int(np.searchsorted(self.steps, self.difference(text), "right")) - 1)])
-
-
-def kneser_ney(unigrams: list[tuple], bigrams: list[tuple], totals: np.ndarray, discount: np.ndarray, pairs_in_all: int, contexts: dict[str, tuple]) -> Model:
-    """unigrams: (word, toxic, ordinary count, distinct words before it) and bigrams: (first,
-    second, toxic, ordinary count), those beyond a class's discount. totals: of all unigrams by
-    class; pairs_in_all: distinct pairs in both classes; contexts: of each first word the counts of all
-    its pairs."""
-    vocabulary = {x[0]: i + 1 for i, x in enumerate(unigrams)}
-    size = len(vocabulary) + 1
-    c = np.array([(0, 0), *(x[1:3] for x in unigrams)], float)
-    # a word that is not kept backs off in both classes: its shared value cancels, any will do
-    shared = np.array([1, *(max(1, x[3]) for x in unigrams)], float) / max(1, pairs_in_all)
-    less = np.maximum(c - discount, 0)
-    single = less / totals + (1 - less.sum(axis=0) / totals) * shared[:, None]
-    keys = np.array([vocabulary[x[0]] * size + vocabulary[x[1]] for x in bigrams], np.int64)
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = keys // size
-    after = np.array([(1, 1), *(contexts.get(x[0], (1, 1)) for x in unigrams)], float)
-    found = np.maximum(np.array([x[2:] for x in bigrams], float).reshape(-1, 2)[order] - discount, 0) / np.maximum(after, 1)[first]
-    taken = np.zeros((size, 2))
-    np.add.at(taken, first, found)
-    return Model(vocabulary, single, keys, found, np.maximum(1 - taken, 1e-3))
+        return float(np.interp(self.difference(text), self.steps, self.values))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The non-decreasing step function nearest to y: where its steps begin, and their values."""
+    """The non-decreasing step function nearest to y, as the middles of its steps and their values."""
     blocks: list[list[float]] = []
-    for k in np.argsort(x, kind="stable").tolist():
-        blocks.append([x[k], y[k] * weight[k], weight[k]])
+    at, inverse = np.unique(x, return_inverse=True)
+    value, n = np.bincount(inverse, y * weight), np.bincount(inverse, weight)
+    for k in range(len(at)):
+        blocks.append([at[k] * n[k], value[k], n[k]])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-            _, value, n = blocks.pop()
-            blocks[-1][1] += value
-            blocks[-1][2] += n
-    return np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+    return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
 def with_text(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -123,57 +94,90 @@ def with_text(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return common.checkpoint(marks.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi"))
 
 
-def train(docs: DataFrame, marks: DataFrame, sample_per_class: int = 3000, discount_share: float = 0.06) -> Model:
+_GRAM = pa.schema([("word", pa.string()), ("toxic", pa.int64()), ("before", pa.int64()), ("fold", pa.int64()), ("n", pa.int64())])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, toxic, null, fold, texts that hold it) and (word, null, hash of a word before it,
+    fold, 1) of the texts of a batch."""
+    for batch in batches:
+        held: dict[tuple, int] = {}
+        after: set[tuple] = set()
+        for text, toxic, fold in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["fold"].to_pylist()):
+            ws = words(text)
+            for w in set(ws):
+                held[w, toxic, fold] = held.get((w, toxic, fold), 0) + 1
+            after.update(zip(ws[1:], map(common.word_hash, ws), [fold] * len(ws)))
+        if held:
+            w, toxic, fold = zip(*held)
+            yield from common.batches(_GRAM, [w, toxic, [None] * len(w), fold, list(held.values())])
+        if after:
+            w, before, fold = zip(*after)
+            yield from common.batches(_GRAM, [w, [None] * len(w), before, fold, [1] * len(w)])
+
+
+def counts(sample: DataFrame) -> DataFrame:
+    """text, toxic, fold in; model, word, toxic and ordinary (texts that hold it) and continuation
+    (distinct words before it) out, for the models that leave out one fold each and that of all."""
+    grams = common.checkpoint(sample.mapInArrow(_count, "word string, toxic long, before long, fold long, n long"))
+    models = F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("model")
+    in_model = F.col("model") != F.col("fold")
+    held = grams.where("toxic is not null").groupBy("word", "fold").agg(F.sum(F.col("n") * F.col("toxic")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("ordinary"))
+    held = held.select("*", models).where(in_model).groupBy("model", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    pairs = grams.where("toxic is null").groupBy("word", "before").agg(F.bit_or(F.expr("shiftleft(1, cast(fold as int))")).alias("folds"))
+    left_out = lambda m: F.col("folds").bitwiseAND(F.lit((1 << FOLDS) - 1 - (1 << m) if m < FOLDS else (1 << FOLDS) - 1)) != 0
+    after = pairs.groupBy("word").agg(*[F.count_if(left_out(m)).alias(str(m)) for m in range(FOLDS + 1)])
+    after = after.select("word", F.posexplode(F.array(*map(str, range(FOLDS + 1)))).alias("model", "continuation"))
+    return held.join(after, ["model", "word"], "left").select("model", "word", "toxic", "ordinary", F.coalesce("continuation", F.lit(0)).alias("continuation"))
+
+
+def probabilities(grams: DataFrame) -> DataFrame:
+    """counts() with p_toxic and p_ordinary of each word, and n_toxic and n_ordinary, the sums of
+    counts. A word of no row has the probabilities of a row with counts 0."""
+    sums = []
+    for c in ("toxic", "ordinary"):
+        once, twice = F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)
+        sums += [F.sum(c).alias(f"n_{c}"), F.count_if(F.col(c) > 0).alias(f"t_{c}"), F.when(once > 0, once / (once + 2 * twice)).otherwise(0.5).alias(f"d_{c}")]
+    total = grams.groupBy("model").agg(*sums, (F.sum("continuation") + (F.count("*") + 1) / 2).alias("all"))
+    share = (F.col("continuation") + 0.5) / F.col("all")
+    each = lambda c: F.greatest(F.col(c) - F.col(f"d_{c}"), F.lit(0.0)) / F.col(f"n_{c}") + F.col(f"d_{c}") * F.col(f"t_{c}") / F.col(f"n_{c}") * share
+    # one row for each of the five models
+    return grams.join(F.broadcast(total), "model").select(*grams.columns, "n_toxic", "n_ordinary", each("toxic").alias("p_toxic"), each("ordinary").alias("p_ordinary"))
+
+
+def speaking(grams: DataFrame, errors: float, least_difference: float) -> DataFrame:
+    """model, word, says: the words whose difference goes beyond its error and by how much."""
+    difference = F.log(F.col("p_toxic") / F.col("p_ordinary"))
+    error = F.sqrt(1 / (F.col("n_toxic") * F.col("p_toxic")) + 1 / (F.col("n_ordinary") * F.col("p_ordinary")))
+    beyond = F.abs(difference) - F.greatest(F.lit(least_difference), errors * error)
+    return probabilities(grams).where("n_toxic > 0 and n_ordinary > 0").where(beyond > 0).select("model", "word", (F.signum(difference) * beyond).alias("says"))
+
+
+def train(docs: DataFrame, marks: DataFrame, toxic_sample: int = 3000, ordinary_sample: int = 12000, errors: float = 2.0, least_difference: float = 1.0, prior_words: float = 30.0) -> Model:
     """docs: doc_id, text to learn from; marks: doc_id, toxic (0 or 1). The sample is drawn from the
-    ids alone and then joined to the texts, which are not shuffled: the drawn ids all have a text
-    and are expected to be no more than sample_per_class of each class."""
+    ids alone and then joined to the texts, which are not shuffled but for the sample."""
     marks = with_text(docs, marks)
-    counts = {int(r[0]): r[1] for r in docs.where("text is not null").select("doc_id").join(marks, "doc_id").groupBy("toxic").count().collect()}
-    none = Model({}, np.zeros((0, 2)), np.zeros(0, np.int64), np.zeros((0, 2)), np.zeros((0, 2)))
-    if not counts.get(0) or not counts.get(1):
+    counted = {int(r[0]): r[1] for r in marks.groupBy("toxic").count().collect()}
+    none = Model([{}] * (FOLDS + 1), prior_words)
+    if not counted.get(0) or not counted.get(1):
         return none
-    rate = F.when(F.col("toxic") == 1, min(1.0, sample_per_class / counts[1])).otherwise(min(1.0, sample_per_class / counts[0]))
-    drawn = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * float(1 << 30))
-    sample = common.checkpoint(docs.where("text is not null").join(F.broadcast(drawn), "doc_id").select("text", "toxic"))
+    bound = {0: ordinary_sample, 1: toxic_sample}
+    share = F.when(F.col("toxic") == 1, min(1.0, bound[1] / counted[1])).otherwise(min(1.0, bound[0] / counted[0]))
+    drawn = common.checkpoint(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30)))
+    # the draw is near its bound unless a hash fails us: then the join shuffles
+    few = drawn.count() <= 2 * (toxic_sample + ordinary_sample)
+    texts = docs.where("text is not null").join(F.broadcast(drawn) if few else drawn, "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
+    sample = common.checkpoint(texts.dropDuplicates(["text", "toxic"]).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS))))
     held = {int(r[0]): r[1] for r in sample.groupBy("toxic").count().collect()}
     if not held.get(0) or not held.get(1):
         return none
-    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("toxic", pa.int64()), ("ordinary", pa.int64())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[tuple, list[int]] = {}
-            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-                ws = words(text)
-                for key in {*((w, None) for w in ws), *zip(ws, ws[1:])}:
-                    seen.setdefault(key, [0, 0])[1 - int(toxic)] += 1
-            if seen:
-                a, b = zip(*seen)
-                yield from common.batches(schema, [a, b, *zip(*seen.values())])
-
-    grams = common.checkpoint(sample.mapInArrow(count, "a string, b string, toxic long, ordinary long").groupBy("a", "b").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
-    discount = np.array([max(2.0, discount_share * held[k]) for k in (1, 0)])
-    beyond = (F.col("toxic") > float(discount[0])) | (F.col("ordinary") > float(discount[1]))
-    # what goes beyond the discount is bounded: a text's distinct words over discount_share
-    single = grams.where(F.col("b").isNull())
-    pairs = grams.where(F.col("b").isNotNull())
-    kept = single.where(beyond).select("a", "toxic", "ordinary").toPandas()
-    kept_pairs = pairs.where(beyond & F.col("a").isin(kept["a"].tolist()) & F.col("b").isin(kept["a"].tolist())).toPandas()
-    before = dict(pairs.where(F.col("b").isin(kept["a"].tolist())).groupBy("b").count().toPandas().itertuples(index=False, name=None)) if len(kept) else {}
-    after = pairs.where(F.col("a").isin(kept["a"].tolist())).groupBy("a").agg(F.sum("toxic"), F.sum("ordinary")).toPandas()
-    totals = np.array(single.agg(F.sum("toxic"), F.sum("ordinary")).first(), float)
-    model = kneser_ney(
-        [(*x, before.get(x[0], 1)) for x in sorted(kept.itertuples(index=False, name=None))],
-        sorted(x for x in kept_pairs.itertuples(index=False, name=None)),
-        np.maximum(totals, 1),
-        discount,
-        pairs.count(),
-        {x[0]: x[1:] for x in after.itertuples(index=False, name=None)},
-    )
-    fit = differences(sample, model, "toxic").select("difference", "toxic").toPandas()
+    model = Model([{} for _ in range(FOLDS + 1)], prior_words)
+    for k, word, says in speaking(counts(sample), errors, least_difference).collect():
+        model.says[k][word] = says
+    fit = _each(sample, model, ("toxic", "fold"), "difference", lambda m, row: m.difference(row["tm_text"], row["fold"])).select("difference", "toxic").toPandas()
     y = fit["toxic"].to_numpy(float)
     # each class counts as often as the labels have it
-    model.steps, model.values = isotonic(fit["difference"].to_numpy(), y, np.where(y == 1, counts[1] / held[1], counts[0] / held[0]))
+    model.steps, model.values = isotonic(fit["difference"].to_numpy(), y, np.where(y == 1, counted[1] / held[1], counted[0] / held[0]))
     return model
 
 
@@ -183,19 +187,15 @@ def _each(docs: DataFrame, model: Model, keep: tuple[str, ...], name: str, f) ->
     # the model travels in the closure: it grows with the sample, not with the corpus
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [f(model, t) for t in batch["tm_text"].to_pylist()]
+            out = [f(model, row) for row in batch.to_pylist()]
             rest = batch.drop_columns(["tm_text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.float64())], [*rest.schema.names, name])
 
     return rows.mapInArrow(run, rows.drop("tm_text").schema.add(name, "double"))
 
 
-def differences(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    return _each(docs, model, keep, "difference", lambda m, t: m.difference(t))
-
-
 def scores(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    return _each(docs, model, keep, "score", lambda m, t: m.score(t))
+    return _each(docs, model, keep, "score", lambda m, row: m.score(row["tm_text"]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
