@@ -36,12 +36,14 @@ if one label says so.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -94,41 +96,47 @@ def with_text(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return common.checkpoint(marks.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi"))
 
 
-_GRAM = pa.schema([("word", pa.string()), ("toxic", pa.int64()), ("before", pa.int64()), ("fold", pa.int64()), ("n", pa.int64())])
+_HELD = pa.schema([("h", pa.int64()), ("word", pa.string()), ("toxic", pa.int64()), ("fold", pa.int64()), ("n", pa.int64())])
+_AFTER = pa.schema([("h", pa.int64()), ("before", pa.int64()), ("folds", pa.int64())])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, null, fold, texts that hold it) and (word, null, hash of a word before it,
-    fold, 1) of the texts of a batch."""
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a batch hold each word, by class and fold."""
     for batch in batches:
-        held: dict[tuple, int] = {}
-        after: set[tuple] = set()
+        held = Counter()
         for text, toxic, fold in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["fold"].to_pylist()):
-            ws = words(text)
-            for w in set(ws):
-                held[w, toxic, fold] = held.get((w, toxic, fold), 0) + 1
-            after.update(zip(ws[1:], map(common.word_hash, ws), [fold] * len(ws)))
+            held.update((w, toxic, fold) for w in set(words(text)))
         if held:
             w, toxic, fold = zip(*held)
-            yield from common.batches(_GRAM, [w, toxic, [None] * len(w), fold, list(held.values())])
-        if after:
-            w, before, fold = zip(*after)
-            yield from common.batches(_GRAM, [w, [None] * len(w), before, fold, [1] * len(w)])
+            yield from common.batches(_HELD, [[*map(common.word_hash, w)], w, toxic, fold, list(held.values())])
+
+
+def _after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of words of a batch, with a bit for each fold that has them."""
+    for batch in batches:
+        folds: dict[tuple, int] = {}
+        for text, fold in zip(batch["text"].to_pylist(), batch["fold"].to_pylist()):
+            ws = words(text)
+            for pair in set(zip(ws[1:], ws)):
+                folds[pair] = folds.get(pair, 0) | 1 << fold
+        if folds:
+            w, before = zip(*folds)
+            yield from common.batches(_AFTER, [[*map(common.word_hash, w)], [*map(common.word_hash, before)], list(folds.values())])
 
 
 def counts(sample: DataFrame) -> DataFrame:
     """text, toxic, fold in; model, word, toxic and ordinary (texts that hold it) and continuation
     (distinct words before it) out, for the models that leave out one fold each and that of all."""
-    grams = common.checkpoint(sample.mapInArrow(_count, "word string, toxic long, before long, fold long, n long"))
-    models = F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("model")
-    in_model = F.col("model") != F.col("fold")
-    held = grams.where("toxic is not null").groupBy("word", "fold").agg(F.sum(F.col("n") * F.col("toxic")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("ordinary"))
-    held = held.select("*", models).where(in_model).groupBy("model", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    pairs = grams.where("toxic is null").groupBy("word", "before").agg(F.bit_or(F.expr("shiftleft(1, cast(fold as int))")).alias("folds"))
-    left_out = lambda m: F.col("folds").bitwiseAND(F.lit((1 << FOLDS) - 1 - (1 << m) if m < FOLDS else (1 << FOLDS) - 1)) != 0
-    after = pairs.groupBy("word").agg(*[F.count_if(left_out(m)).alias(str(m)) for m in range(FOLDS + 1)])
-    after = after.select("word", F.posexplode(F.array(*map(str, range(FOLDS + 1)))).alias("model", "continuation"))
-    return held.join(after, ["model", "word"], "left").select("model", "word", "toxic", "ordinary", F.coalesce("continuation", F.lit(0)).alias("continuation"))
+    of = lambda c, k: F.coalesce(F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == k), F.col("n"))), F.lit(0)).alias(f"c{c}{k}")
+    held = sample.select("text", "toxic", "fold").mapInArrow(_held, "h long, word string, toxic long, fold long, n long")
+    held = held.groupBy("h").agg(F.min("word").alias("word"), *[of(c, k) for c in (0, 1) for k in range(FOLDS)])
+    pairs = sample.select("text", "fold").mapInArrow(_after, "h long, before long, folds long").groupBy("h", "before").agg(F.bit_or("folds").alias("folds"))
+    every = (1 << FOLDS) - 1
+    in_model = [F.count_if(F.col("folds").bitwiseAND(F.lit(every - (1 << m) if m < FOLDS else every)) != 0).alias(f"a{m}") for m in range(FOLDS + 1)]
+    both = common.checkpoint(held.join(pairs.groupBy("h").agg(*in_model), "h", "left"))
+    total = lambda c, m: reduce(Column.__add__, [F.col(f"c{c}{k}") for k in range(FOLDS) if k != m])
+    each = [F.struct(F.lit(m).alias("model"), "word", total(1, m).alias("toxic"), total(0, m).alias("ordinary"), F.coalesce(f"a{m}", F.lit(0)).alias("continuation")) for m in range(FOLDS + 1)]
+    return both.select(F.inline(F.array(*each))).where("toxic + ordinary > 0")
 
 
 def probabilities(grams: DataFrame) -> DataFrame:
@@ -153,7 +161,7 @@ def speaking(grams: DataFrame, errors: float, least_difference: float) -> DataFr
     return probabilities(grams).where("n_toxic > 0 and n_ordinary > 0").where(beyond > 0).select("model", "word", (F.signum(difference) * beyond).alias("says"))
 
 
-def train(docs: DataFrame, marks: DataFrame, toxic_sample: int = 3000, ordinary_sample: int = 12000, errors: float = 2.0, least_difference: float = 1.0, prior_words: float = 30.0) -> Model:
+def train(docs: DataFrame, marks: DataFrame, toxic_sample: int = 3000, ordinary_sample: int = 6000, errors: float = 2.0, least_difference: float = 1.0, prior_words: float = 30.0) -> Model:
     """docs: doc_id, text to learn from; marks: doc_id, toxic (0 or 1). The sample is drawn from the
     ids alone and then joined to the texts, which are not shuffled but for the sample."""
     marks = with_text(docs, marks)
