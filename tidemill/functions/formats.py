@@ -36,7 +36,7 @@ def prefix(power: float) -> str:
 
 def number(template: str, value: float | None, base: int = 1000, kept: float | None = None) -> tuple[str, float | None]:
     """(text, power): kept is the power that an earlier format chose, which ``%S`` takes over."""
-    value, template = math.nan if value is None else value, template[:200]
+    value = math.nan if value is None else value
     again = "%S" in template
     template = template.replace("%S", "%s", 1)
     if not re.match(PATTERN, template):

@@ -196,7 +196,7 @@ class Kernel:
 
 
 def recurrence(rows: DataFrame, e: Expression, variables: dict[str, Column], grid: Grid) -> DataFrame:
-    """ts, v of an expression over its own previous value, unknown before the first row. A series
+    """grid.keys, ts, v of an expression over its own previous value, unknown before the first row. A series
     is one Arrow batch, as each row needs the one before; rows: grid.keys, ts and the variables."""
     tokens = list(e.tokens)
     parts = Kernel(tree(tokens)).parts
@@ -211,6 +211,7 @@ def recurrence(rows: DataFrame, e: Expression, variables: dict[str, Column], gri
             for row in values:
                 last = float(call(row, last))
                 out.append(None if nan(last) else last)
-        return pd.DataFrame({"ts": pdf["ts"], "v": pd.Series(out, index=pdf.index, dtype="float64")})
+        return pdf[list(grid.keys)].assign(ts=pdf["ts"], v=pd.Series(out, index=pdf.index, dtype="float64"))
 
-    return wide.groupBy(*grid.keys).applyInPandas(run, "ts long, v double")
+    kinds = dict(wide.dtypes)
+    return wide.groupBy(*grid.keys).applyInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in grid.keys) + "ts long, v double")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from collections import deque
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -121,11 +122,59 @@ class Grid:
     zone: str = "UTC"
     week_starts: int = 0  # 0 is Sunday
     steps: dict[str, int] = field(default_factory=dict)  # of variables coarser than the grid
+    past: dict[int, Column] = field(default_factory=dict)  # what PAST operators read, by their place
 
     def order(self):
         return Window.partitionBy(*self.keys).orderBy(self.ts)
 
 
+#: Operators over the samples of one variable before the row.
+PAST = ("TREND", "TRENDNAN", "PREDICT", "PREDICTSIGMA", "PREDICTPERC")
+
+
+def _arguments(tokens: list[tuple[str, object]]) -> tuple[float, list[float]]:
+    """Window and shifts of the PREDICT operator that ends tokens."""
+    op = tokens[-1][1]
+    end = len(tokens) - (3 if op == "PREDICTPERC" else 2)  # the variable and perhaps a percentile follow
+    numbers = []
+    for kind, x in reversed(tokens[:end]):
+        if kind != "number":
+            break
+        numbers.append(x)
+    if len(numbers) < 2:
+        raise ValueError(f"the arguments of {op} must be numbers")
+    window, k, *rest = numbers
+    k = int(k)
+    if len(rest) < (k if k >= 0 else 1):
+        raise ValueError(f"the shifts of {op} must be numbers")
+    shifts = [i * rest[0] for i in range(-k)] if k < 0 else rest[:k][::-1]
+    if any(s < 0 for s in shifts):
+        raise ValueError(f"negative shift of {op}")
+    return window, shifts
+
+
+def past(tokens: list[tuple[str, object]], step: int, w) -> Column:
+    """What the operator that ends tokens reads of a variable of its own step, at the newest of its
+    samples: the mean of a TREND, or an array of (o, v), the samples of a PREDICT by their offsets.
+
+    w: a window over the variable's samples after one more row that stands before the first.
+    Samples before the first count as 0, those after the last are unknown."""
+    op, k, v = tokens[-1][1], F.row_number().over(w) - 1, F.col("v")
+    if op in ("TREND", "TRENDNAN"):
+        if tokens[-2][0] != "number":
+            raise ValueError("the window of a trend must be a number")
+        n = max(1, math.ceil(tokens[-2][1] / step))
+        frame = w.rowsBetween(-(n - 1), 0)
+        missing = F.greatest(n - k, F.lit(0))
+        counted = F.count(v).over(frame) + missing
+        mean = F.coalesce(F.sum(v).over(frame), F.lit(0.0)) / F.greatest(counted, F.lit(1))
+        return F.when(counted == n if op == "TREND" else counted > 0, mean)
+    window, shifts = _arguments(tokens)
+    offsets = [math.ceil(s / step) + j for s in shifts for j in range(math.ceil(window / step) + 1)]
+    sample = lambda o: F.when(k >= o, F.lead(v, 1 - o).over(w) if o < 1 else F.lag(v, o - 1).over(w)).otherwise(0.0)
+    return F.array(*[F.struct(F.lit(o).alias("o"), sample(o).alias("v")) for o in offsets])
+
+
 class Expression:
     """A parsed expression: tokens are numbers, operators, PREV(name) and variables."""
 
@@ -199,7 +248,8 @@ class Compiler:
         return int(n)
 
     def run(self, tokens: list[tuple[str, object]]) -> Column:
-        for kind, x in tokens:
+        self.tokens = tokens
+        for self.at, (kind, x) in enumerate(tokens):
             if kind == "number":
                 self.push(number(x), x)
             elif kind == "variable":
@@ -237,7 +287,7 @@ class Compiler:
         elif op == "TIME":
             self.push(F.col(g.ts).cast("double"))
         elif op == "LTIME":
-            self.push(F.unix_timestamp(self.local(F.col(g.ts))).cast("double"))
+            self.push((F.col(g.ts) + self.offset(F.col(g.ts))).cast("double"))
         elif op.startswith("NEW"):
             self.push(flag(self.period(op[3:], F.col(g.ts)) != self.period(op[3:], F.col(g.ts) - g.step)))
         elif op == "DUP":
@@ -291,6 +341,15 @@ class Compiler:
     def local(self, seconds: Column) -> Column:
         return F.from_utc_timestamp(F.timestamp_seconds(seconds), self.grid.zone)
 
+    def offset(self, seconds: Column) -> Column:
+        """Of the zone from UTC. Days are told apart by their number in the year, so that on 31
+        December a zone that is behind a new year in UTC comes out two days ahead."""
+        here, utc = self.local(seconds), F.from_utc_timestamp(F.timestamp_seconds(seconds), "UTC")
+        of_day = lambda t: F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+        later = (F.dayofyear(here) > F.dayofyear(utc)) | (F.year(here) > F.year(utc))
+        earlier = (F.dayofyear(here) < F.dayofyear(utc)) | (F.year(here) < F.year(utc))
+        return of_day(here) - of_day(utc) + F.when(later, 86400).when(earlier, -86400).otherwise(0)
+
     def period(self, unit: str, seconds: Column) -> Column:
         t = self.local(seconds)
         if unit == "WEEK":
@@ -298,20 +357,19 @@ class Compiler:
         return F.date_trunc(unit.lower(), t)
 
     def roll(self) -> None:
-        shift_c, count_c = self.stack[-1], self.stack[-2]
+        """The top value and the slots above it, which still hold the count and the shift, make a
+        circle. Turned by the shift and read from its end it replaces the top values. What more
+        slots above would hold is not defined; here it is 0."""
+        slots = self.stack[-2:]
         shift, n = self.count(), self.count()
         self.need(n)
-        if n <= 1:
-            return
-        # the rotation reads the top value and the slots above it, which still hold count and shift
-        read = [self.stack[-1], count_c, shift_c]
-        if n > len(read):
-            read += [number(0)] * (n - len(read))
-        base = n - 1 + shift
-        values = [read[(base - k) % n] for k in range(n)]
-        self.pop(n)
-        for c in values:
-            self.push(c)
+        if n > 1:
+            circle = deque([self.stack[-1], *slots, *[number(0)] * (n - 3)][:n])
+            circle.reverse()
+            circle.rotate(shift)
+            self.pop(n)
+            for c in circle:
+                self.push(c)
 
     def of_set(self, op: str, values: list[Column]) -> None:
         rows = F.array(*values) if values else F.array().cast("array<double>")
@@ -356,42 +414,40 @@ class Compiler:
         if window is None:
             raise ValueError("the window of a trend must be a number")
         x = self.pop(2)[0]
-        n = max(1, math.ceil(window / self.grid.step))
         w = self.grid.order()
+        own = self.grid.past.get(self.at)
+        if own is not None:
+            self.push(F.when(F.row_number().over(w) >= math.ceil(window / self.own_step(2)), own))
+            return
+        n = max(1, math.ceil(window / self.grid.step))
         frame = w.rowsBetween(-(n - 1), 0)
         mean = F.avg(x).over(frame)
         if not skip:
             mean = F.when(F.count(x).over(frame) == n, mean)
         self.push(F.when(F.row_number().over(w) >= n, mean))
 
+    def own_step(self, back: int) -> int:
+        return self.grid.steps[self.tokens[self.at - back][1]]
+
     def predict(self, op: str) -> None:
         """Shifts and the window are literals; the samples are lags of x."""
-        p = None
+        p = self.literal[-2] if op == "PREDICTPERC" else None
+        if op == "PREDICTPERC" and (p is None or abs(p) > 100):
+            raise ValueError("a percentile is a number from -100 to 100")
+        window, shifts = _arguments(self.tokens[: self.at + 1])
+        k = self.literal[-4 if op == "PREDICTPERC" else -3]
         (x,) = self.pop()
-        window, k = (self.literal[-1], self.literal[-2])
-        if op == "PREDICTPERC":
-            # ..., k, window, percentile, x
-            p, window, k = self.literal[-1], self.literal[-2], self.literal[-3]
-            self.pop()
-        if window is None or k is None or (op == "PREDICTPERC" and p is None):
-            raise ValueError(f"the arguments of {op} must be numbers")
-        self.pop(2)
-        if k < 0:
-            m = self.literal[-1]
-            self.pop()
-            shifts = [i * m for i in range(int(-k))]
-        else:
-            shifts = self.literal[len(self.literal) - int(k) :]
-            self.pop(int(k))
-        if any(s is None for s in shifts):
-            raise ValueError(f"the shifts of {op} must be numbers")
+        self.pop((3 if op == "PREDICTPERC" else 2) + (int(k) if k >= 0 else 1))
         step, w = self.grid.step, self.grid.order()
-        length = math.ceil(window / step)
-        offsets = [math.ceil(s / step) + j for s in shifts for j in range(length + 1)]
         at = F.row_number().over(w) - 1
-        # offset 0 is the sample after the row's own; only offsets below the row's index count
-        sample = lambda o: F.when(F.lit(o) < at, F.lead(x, 1 - o).over(w) if o < 1 else F.lag(x, o - 1).over(w))
-        rows = F.filter(F.array(*[sample(o) for o in offsets]), lambda v: v.isNotNull())
+        own = self.grid.past.get(self.at)
+        if own is not None:
+            rows = F.transform(F.filter(own, lambda s: (s["o"] < at) & s["v"].isNotNull()), lambda s: s["v"])
+        else:
+            offsets = [math.ceil(s / step) + j for s in shifts for j in range(math.ceil(window / step) + 1)]
+            # offset 0 is the sample after the row's own; only offsets below the row's index count
+            sample = lambda o: F.when(F.lit(o) < at, F.lead(x, 1 - o).over(w) if o < 1 else F.lag(x, o - 1).over(w))
+            rows = F.filter(F.array(*[sample(o) for o in offsets]), lambda v: v.isNotNull())
         n = F.size(rows)
         mean = F.aggregate(rows, F.lit(0.0), lambda a, v: a + v) / F.greatest(n, F.lit(1))
         if op == "PREDICT":

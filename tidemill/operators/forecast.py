@@ -1,16 +1,20 @@
 """Seasonal forecasting (Holt-Winters) with aberrant-behaviour flags.
 
-Each step depends on the one before, so a series runs in one Arrow batch per key; series are
-independent and spread over the cluster. The same step function serves streams.
+Each step depends on the one before, so a series runs in time order within one task; only its state
+is held, however long it is. Series are independent and spread over the cluster. The same step
+function serves streams.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schema import Database
 
@@ -65,12 +69,35 @@ class State:
     flags: list[int] = field(default_factory=list)
     at: int = 0
     seasons: int = 0
+    ahead: int = 0  # rows between the next one and the one whose coefficients it reads
 
-    def step(self, x: float, m: Model) -> tuple[float, float, float, float, float]:
-        """(prediction, new seasonal coefficient, new deviation, deviation used, failure)."""
+    def open(self, m: Model) -> None:
         if not self.season:
             self.season, self.deviation, self.flags = [math.nan] * m.period, [math.nan] * m.period, [0] * m.window
-        s, d, nan = self.season[self.at], self.deviation[self.at], math.isnan
+
+    def move(self, steps: int) -> None:
+        self.seasons += (self.at + steps) // len(self.season)
+        self.at = (self.at + steps) % len(self.season)
+
+    def run(self, values: list[float], m: Model) -> list[tuple[float, float, float, float, float]]:
+        """The rows of the PDPs that one reading closed: a single one learns and writes its season
+        row; of two each learns but writes none, and the next coefficients are read a row further;
+        three or more teach nothing, keep their season rows and empty the history of failures."""
+        self.open(m)
+        if len(values) < 3:
+            return [self.step(x, m, len(values) == 2) for x in values]
+        out = []
+        for _ in values:
+            out.append((math.nan, self.season[self.at], self.deviation[self.at], math.nan, 0.0))
+            self.move(1)
+        self.gap, self.flags, self.ahead = self.gap + len(values), [0] * m.window, 0
+        return out
+
+    def step(self, x: float, m: Model, pair: bool = False) -> tuple[float, float, float, float, float]:
+        """(prediction, new seasonal coefficient, new deviation, deviation used, failure)."""
+        self.open(m)
+        look, nan = (self.at + self.ahead) % m.period, math.isnan
+        s, d = self.season[look], self.deviation[look]
         p = guess = math.nan
         if nan(self.level):
             new = s
@@ -99,10 +126,10 @@ class State:
         wrong = not nan(d) and (nan(x) or x > guess + m.delta_pos * d or x < guess - m.delta_neg * d)
         self.flags = [int(wrong), *self.flags[: m.window - 1]]
         failure = float(sum(self.flags) >= m.threshold)
-        self.season[self.at], self.deviation[self.at] = new, new_d
-        self.at = (self.at + 1) % m.period
-        if self.at == 0:
-            self.seasons += 1
+        if not pair:
+            self.season[self.at], self.deviation[self.at] = new, new_d
+        self.ahead = int(pair)
+        self.move(1)
         return p, new, new_d, d, failure
 
     def reset(self) -> None:
@@ -113,7 +140,8 @@ class State:
 
     def smooth(self, m: Model) -> None:
         """Centred circular means of both seasonal rows; the additive season is centred on 0 and
-        the multiplicative one on 1, the difference going to the level."""
+        the multiplicative one on 1; the level gains the mean that the season lost. Rows of which
+        one is unknown stay."""
         half = int(m.smoothing / 2 * m.period)
         for rows, is_season in ((self.season, True), (self.deviation, False)):
             if not rows or any(map(math.isnan, rows)):
@@ -124,29 +152,87 @@ class State:
             if is_season:
                 mean = sum(rows) / len(rows)
                 rows[:] = [m.remove(r, mean) for r in rows]
-                self.level = self.level * mean if m.multiplicative else self.level + mean
+                self.level += mean
 
 
 FORECAST = "ts long, v double, predicted double, seasonal double, deviation double, devpredict double, failure double"
+STATE = "level double, trend double, gap long, at long, season array<double>, deviation array<double>"
+
+
+def _number(x: float) -> float | None:
+    return None if math.isnan(x) else x
+
+
+def _by_series(pdp: DataFrame, keys: tuple[str, ...], schema: StructType, visit: Callable) -> DataFrame:
+    """visit(key, runs) -> rows of each series in time order. runs: (ts list, value list) of the
+    PDPs that one reading closed; without a column ``run`` in pdp each PDP is a reading's own."""
+    of_run = F.col("run") if "run" in pdp.columns else F.lit(1).alias("run")
+    rows = pdp.select(*keys, "ts", "v", of_run)
+    # partitions by key as the session has them; only a run is held at a time
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "ts")
+    arrow = pa.schema([(f.name, {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}[f.dataType.simpleString()]) for f in schema])
+
+    def series(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(zip(*(batch[k].to_pylist() for k in keys)), batch["ts"].to_pylist(), batch["v"].to_pylist(), batch["run"].to_pylist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, source = [], series(batches)
+        ahead = next(source, None)
+        while ahead is not None:
+            key = ahead[0]
+
+            def runs():
+                nonlocal ahead
+                while ahead is not None and ahead[0] == key:
+                    _, ts, v, left = ahead
+                    when, values = [ts], [v]
+                    ahead = next(source, None)
+                    while len(when) < left and ahead is not None and ahead[0] == key:
+                        when.append(ahead[1]), values.append(ahead[2])
+                        ahead = next(source, None)
+                    yield when, [math.nan if x is None else x for x in values]
 
+            for row in visit(key, runs()):
+                rows.append(row)
+                if len(rows) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-def forecast(pdp: DataFrame, model: Model, keys: tuple[str, ...] = ("series",), smooth: bool = True) -> DataFrame:
+    return dealt.mapInArrow(run, schema)
+
+
+def _schema(pdp: DataFrame, keys: tuple[str, ...], rest: str) -> StructType:
+    kinds = dict(pdp.dtypes)
+    return StructType.fromDDL(", ".join([*(f"`{k}` {kinds[k]}" for k in keys), rest]))
+
+
+def forecast(pdp: DataFrame, model: Model, keys: tuple[str, ...] = ("series",)) -> DataFrame:
     """keys and, for each PDP, the rows of the five archives: predicted (null while learning),
-    seasonal, deviation (after), devpredict (before) and failure. Smoothing runs once, after the
-    last row of a call, as after one update command: it shapes what a later call would start with."""
-    names, kinds = list(keys), dict(pdp.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in names) + ", " + FORECAST
+    seasonal, deviation (after), devpredict (before) and failure."""
+
+    def visit(key: tuple, runs) -> Iterator[tuple]:
+        state = State()
+        for when, values in runs:
+            for ts, x, row in zip(when, values, state.run(values, model)):
+                yield *key, ts, _number(x), *map(_number, row)
+
+    return _by_series(pdp, keys, _schema(pdp, keys, FORECAST), visit)
+
+
+def states(pdp: DataFrame, model: Model, keys: tuple[str, ...] = ("series",), smooth: bool = True) -> DataFrame:
+    """keys and what a series carries on after its last PDP: level, trend, gap, place in the season,
+    season and deviation rows. With smooth after one smoothing pass, as after an update command in
+    which the season came round."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
+    def visit(key: tuple, runs) -> Iterator[tuple]:
         state = State()
-        out = [state.step(math.nan if v is None else v, model) for v in rows["v"].tolist()]
-        if smooth:
+        for _, values in runs:
+            state.run(values, model)
+        if smooth and state.seasons:
             state.smooth(model)
-        cols = list(zip(*out)) or [()] * 5
-        made = {k: [v] * len(rows) for k, v in zip(names, key)} | {"ts": rows["ts"].tolist(), "v": rows["v"].tolist()}
-        for name, c in zip(("predicted", "seasonal", "deviation", "devpredict", "failure"), cols):
-            made[name] = [None if math.isnan(x) else x for x in c]
-        return pd.DataFrame(made)
+        yield *key, _number(state.level), _number(state.trend), state.gap, state.at, [*map(_number, state.season)], [*map(_number, state.deviation)]
 
-    return pdp.groupBy(*names).applyInPandas(run, schema)
+    return _by_series(pdp, keys, _schema(pdp, keys, STATE), visit)

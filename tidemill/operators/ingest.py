@@ -65,14 +65,16 @@ def amounts(readings: DataFrame, source: DataSource, keys: tuple[str, ...] = ("s
     return rows.select(*keys, "ts", "prev", "i", a.alias("a"), (a / seconds).alias("r"))
 
 
-def pdps(readings: DataFrame, source: DataSource, step: int, keys: tuple[str, ...] = ("series",), start: int | None = None, order: str | None = None, horizon: int | None = None) -> DataFrame:
+def pdps(readings: DataFrame, source: DataSource, step: int, keys: tuple[str, ...] = ("series",), start: int | None = None, order: str | None = None, horizon: int | None = None, runs: bool = False) -> DataFrame:
     """keys, ts (end of the step), v for each completed step; horizon: keep only so many steps
-    before a series' last one, so that a long gap opens no more rows than archives keep."""
-    return completed(amounts(readings, source, keys, start, order), source.heartbeat, step, keys, horizon)
+    before a series' last one, so that a long gap opens no more rows than archives keep; runs: also
+    run, how many steps the reading closed that closed this one."""
+    out = completed(amounts(readings, source, keys, start, order), source.heartbeat, step, keys, horizon)
+    return out if runs else out.drop("run")
 
 
 def completed(rows: DataFrame, heartbeat: int, step: int, keys: tuple[str, ...] = ("series",), horizon: int | None = None) -> DataFrame:
-    """The PDPs of accepted readings as amounts() gives them."""
+    """keys, ts, v, run: the PDPs of accepted readings as amounts() gives them."""
     s = F.lit(step)
     at, was = F.floor(F.col("ts") / s), F.floor(F.col("prev") / s)
     rows = rows.withColumn("n", at - was).withColumn("b0", was).withColumn("b1", at)
@@ -108,7 +110,7 @@ def completed(rows: DataFrame, heartbeat: int, step: int, keys: tuple[str, ...]
     kept = F.greatest(F.col("b"), last - F.lit(horizon) + 1) if horizon else F.col("b")
     out = out.withColumn("from", kept).where("from <= b + n - 1")
     out = out.withColumn("at", F.explode(F.sequence("from", F.col("b") + F.col("n") - 1)))
-    return out.select(*keys, ((F.col("at") + 1) * s).alias("ts"), F.when(F.col("at") == F.col("b"), F.col("v")).otherwise(F.col("later")).alias("v"))
+    return out.select(*keys, ((F.col("at") + 1) * s).alias("ts"), F.when(F.col("at") == F.col("b"), F.col("v")).otherwise(F.col("later")).alias("v"), (F.col("b") + F.col("n") - F.col("from")).cast("int").alias("run"))
 
 
 def computed(pdp: DataFrame, name: str, cdef: str, keys: tuple[str, ...] = ("series",), source: str = "ds") -> DataFrame:

@@ -38,11 +38,16 @@ def vdef(series: DataFrame, function: str, step: int, parameter: float | None =
     none = F.lit(None).cast("long")
     known = v.isNotNull()
     if function in ("LSLSLOPE", "LSLINT", "LSLCORREL"):
-        first = series.groupBy(*keys).agg(F.min("ts").alias("_first"))
-        x = ((ts - F.col("_first")) / F.lit(step)).cast("double")
-        pairs = series.join(first, list(keys)).withColumn("x", F.when(f.isNotNull(), x)).withColumn("y", f)
-        sums = pairs.groupBy(*keys).agg(F.count("y").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"))
-        n, sx, sy, sxy, sxx, syy = (F.col(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy"))
+        # one aggregate: rows counted in whole steps (exact), their mean and squares about the mean
+        k = F.when(f.isNotNull(), F.floor(ts / F.lit(step)))
+        wide = lambda c: F.sum(c.cast("decimal(38,0)"))
+        sums = series.groupBy(*keys).agg(F.min(F.floor(ts / F.lit(step))).alias("k0"), F.count(f).alias("n"), wide(k).alias("sk"), wide(k * k).alias("skk"), F.sum(f).alias("sy"), F.sum(f * f).alias("syy"), F.covar_pop(k.cast("double"), f).alias("cov"))
+        n, sy, k0 = F.col("n"), F.col("sy"), F.col("k0")
+        # integers until the first row's place is taken off, as the places are large numbers
+        sx = (F.col("sk") - (n * k0).cast("decimal(38,0)")).cast("double")
+        sxx = (F.col("skk") - 2 * k0.cast("decimal(19,0)") * F.col("sk") + (n * k0 * k0).cast("decimal(38,0)")).cast("double")
+        sxy = n * F.col("cov") + sx * sy / n
+        syy = F.col("syy")
         over = n * sxx - sx * sx
         slope = F.when(over != 0, (n * sxy - sx * sy) / over)
         both = over * (n * syy - sy * sy)

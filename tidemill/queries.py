@@ -103,7 +103,7 @@ HOURLY = pdp_sql(readings_sql())
 
 
 def out(df: DataFrame, digits: int = 9) -> DataFrame:
-    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # ingestion
@@ -254,6 +254,7 @@ rpn("rpn_sort_rev", "least(a, b, 50) + 10 * (a + b + 50 - least(a, b, 50) - grea
 rpn("rpn_setops", "(a + b + 30) / 3; least(a, b, 30); greatest(a, b, 30); list_sort([a, b, 30.0])[2]; list_stddev_samp([a, b, 30.0])", "a,b,30,3,AVG", "a,b,30,3,SMIN", "a,b,30,3,SMAX", "a,b,30,3,MEDIAN", "a,b,30,3,STDEV")
 rpn("rpn_percent", "list_sort([a, b, 30.0, 70.0])[2]; list_sort([a, b, 30.0, 70.0])[4]", "a,b,30,70,50,4,PERCENT", "a,b,30,70,95,4,PERCENT")
 rpn("rpn_calendar", f"ts; {END}; 3600; (ts % 86400 < 3600)::INT; ((ts + 345600) // 604800 <> (ts - 3600 + 345600) // 604800)::INT; (month(to_timestamp(ts) AT TIME ZONE 'UTC') <> month(to_timestamp(ts - 3600) AT TIME ZONE 'UTC'))::INT; ts", "TIME", "NOW", "STEPWIDTH", "NEWDAY", "NEWWEEK", "NEWMONTH", "LTIME")
+rpn("rpn_roll", "3 + 10 * 1 + 100 * a; 2 + 10 * b", "b,7,a,3,1,ROLL,EXC,10,*,+,EXC,100,*,+", "a,b,2,0,ROLL,10,*,+")
 rpn("rpn_count", "row_number() OVER (ORDER BY ts)", "COUNT")
 rpn("rpn_prev_of", "a - lag(a) OVER (ORDER BY ts)", "a,PREV(a),-")
 rpn("rpn_prev_sum", "sum(a) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)", "a,PREV,ADDNAN")
@@ -266,6 +267,21 @@ rpn("rpn_predictsigma", f"CASE WHEN len({_SAMPLES}) > 1 THEN list_stddev_samp({_
 rpn("rpn_predictperc", f"CASE WHEN len({_SAMPLES}) > 0 THEN list_aggregate({_SAMPLES}, 'quantile_cont', 0.9) END", "86400,172800,2,3600,90,a,PREDICTPERC")
 
 
+_LOCAL = "to_timestamp(ts) AT TIME ZONE 'America/New_York'"
+
+
+@query(
+    f"""WITH {pdp_sql(ORDERS_SQL, step=DAY, heartbeat=10 * DAY)}, t AS (SELECT DISTINCT series, ts, {_LOCAL} AS l, to_timestamp(ts - 86400) AT TIME ZONE 'America/New_York' AS p FROM pdp)
+SELECT series, ts, (ts + CASE WHEN month(l) = 12 AND day(l) = 31 THEN 172800 ELSE 0 END + epoch(l) - ts)::DOUBLE AS ltime, (year(l) <> year(p))::INT::DOUBLE AS newyear, (month(l) <> month(p))::INT::DOUBLE AS newmonth FROM t"""
+)
+def rpn_calendar_years(spark, sf_dir):
+    """The calendar of daily order series over the years, in a zone with summer time."""
+    rows = ingest.pdps(orders(spark, sf_dir), DataSource("v", "GAUGE", 10 * DAY), DAY)
+    g = Grid(step=DAY, zone="America/New_York")
+    e = {n: Expression.parse(n.upper()).column({}, g) for n in ("ltime", "newyear", "newmonth")}
+    return rows.select("series", "ts", *[c.alias(n) for n, c in e.items()])
+
+
 # aggregates over series
 
 FINITE = f"WITH {HOURLY}, n AS (SELECT DISTINCT series FROM pdp), s AS (SELECT n.series, t AS ts, p.v FROM n, range({START + HOUR}, {END + HOUR + 1}, {HOUR}) AS r(t) LEFT JOIN pdp p ON p.series = n.series AND p.ts = t), i AS (SELECT *, (ts - {START + HOUR}) / 3600.0 AS x FROM s WHERE v IS NOT NULL)"
@@ -304,6 +320,43 @@ def cdef_mixed_step(spark, sf_dir):
     return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "DEF:b=events:view:AVERAGE:step=21600", "CDEF:c=a,b,+", "XPORT:c").export())
 
 
+#: Hours (a) beside samples of six hours (b), k counting b's samples from 1; 0 stands before the first.
+OWN = f"""WITH {SIX}, a AS {series_sql('click')}, b AS {series_sql('view', 6 * HOUR)},
+k AS (SELECT row_number() OVER (ORDER BY ts) AS k, ts, v FROM b UNION ALL SELECT 0, {START}, NULL),
+w AS (SELECT a.ts, a.v AS a, k.k, row_number() OVER (ORDER BY a.ts) AS i FROM a JOIN k ON k.ts = a.ts // 21600 * 21600)"""
+
+
+@query(
+    f"""{OWN}, t AS (SELECT k, CASE WHEN count(v) OVER r + greatest(2 - k, 0) = 2 THEN coalesce(sum(v) OVER r, 0) / 2 END AS v FROM k WINDOW r AS (ORDER BY k ROWS 1 PRECEDING))
+SELECT w.ts, round(CASE WHEN i >= 2 THEN a * 0 + t.v END, 9) AS c FROM w JOIN t USING (k) WHERE w.ts <= {END}"""
+)
+def trend_mixed_step(spark, sf_dir):
+    """A trend over the samples of a variable that is coarser than the grid."""
+    return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "DEF:b=events:view:AVERAGE:step=21600", "CDEF:c=a,0,*,b,43200,TREND,+", "XPORT:c").export())
+
+
+@query(
+    f"""{OWN}, o AS (SELECT unnest([1, 2, 2, 3]) AS o), q AS (SELECT w.ts, CASE WHEN w.k - o < 0 THEN 0 ELSE k.v END AS v FROM w JOIN o ON o < i - 1 LEFT JOIN k ON k.k = w.k - o + 1)
+SELECT w.ts, round(a * 0 + m.v, 9) AS c FROM w LEFT JOIN (SELECT ts, avg(v) AS v FROM q GROUP BY ts) m USING (ts) WHERE w.ts <= {END}"""
+)
+def predict_mixed_step(spark, sf_dir):
+    return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "DEF:b=events:view:AVERAGE:step=21600", "CDEF:c=a,0,*,21600,43200,2,21600,b,PREDICT,+", "XPORT:c").export())
+
+
+@query(
+    f"""WITH {HOURLY}, n AS (SELECT DISTINCT series FROM pdp), s AS (SELECT n.series AS host, t AS ts, p.v FROM n, range({START + HOUR}, {END + HOUR + 1}, {HOUR}) AS r(t) LEFT JOIN pdp p ON p.series = n.series AND p.ts = t),
+m AS (SELECT host, avg(v) AS m FROM s GROUP BY host), t AS (SELECT *, CASE WHEN count(v) OVER w = 4 THEN avg(v) OVER w END AS t FROM s WINDOW w AS (PARTITION BY host ORDER BY ts ROWS 3 PRECEDING))
+SELECT host, ts, round(v - t + m, 9) AS d FROM t JOIN m USING (host) WHERE ts <= {END}"""
+)
+def fleet_script(spark, sf_dir):
+    """One script over a fleet of databases: every event type is a host with one data source."""
+    points = hourly(spark, sf_dir).select(F.col("series").alias("host"), F.lit("v").alias("series"), F.lit(0).alias("rra"), "ts", "v")
+    last = int(points.agg(F.max("ts")).first()[0])
+    db = Database(HOUR, (DataSource("v", "GAUGE", HEARTBEAT),), (Archive("AVERAGE", 0.5, 1, 1000),), None, last)
+    s = Script(START, END, {"fleet": Source(db, points)}, now=END, keys=("host",))
+    return out(s.run("DEF:x=fleet:v:AVERAGE", "CDEF:c=x,x,14400,TREND,-", "VDEF:m=x,AVERAGE", "CDEF:d=c,m,+", "XPORT:d").export())
+
+
 @query(f"WITH {HOURLY}, a AS {series_sql('click')} SELECT t AS ts, round(a.v, 9) AS a FROM range({START + HOUR}, {END + 1}, {HOUR}) AS r(t) LEFT JOIN a ON a.ts = t - 7200 WHERE true")
 def shift(spark, sf_dir):
     return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "SHIFT:a:9000", "XPORT:a").export())
@@ -353,14 +406,52 @@ def cdef_recurrence(spark, sf_dir):
     return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "CDEF:c=PREV,UN,a,PREV,0.9,*,a,0.1,*,+,IF", "XPORT:c").export())
 
 
-# forecasting: sequential; checked against recurrences written out in the tests
+# forecasting
+
+
+def hw_sql(m: forecast.Model) -> str:
+    """The recurrence, row by row: r holds the state after row i of a series."""
+    g = m.gamma if m.deviation_gamma is None else m.deviation_gamma
+    apply = "({} * {})" if m.multiplicative else "({} + {})"
+    remove = "CASE WHEN {1} > 0 THEN {0} / {1} END" if m.multiplicative else "({0} - {1})"
+    blend = lambda w, new, old: f"({w} * ({new}) + (1 - {w}) * ({old}))"
+    return f"""WITH RECURSIVE {HOURLY}, n AS (SELECT series, ts, v, row_number() OVER (PARTITION BY series ORDER BY ts) AS i FROM pdp),
+r AS (
+  SELECT DISTINCT series, 0::BIGINT AS i, NULL::BIGINT AS ts, NULL::DOUBLE AS v, NULL::DOUBLE AS p, NULL::DOUBLE AS new, NULL::DOUBLE AS new_d, NULL::DOUBLE AS d, 0.0::DOUBLE AS failure,
+    NULL::DOUBLE AS level, NULL::DOUBLE AS trend, 1::BIGINT AS gap, list_resize([]::DOUBLE[], {m.period}) AS season, list_resize([]::DOUBLE[], {m.period}) AS deviation, list_resize([]::INT[], {m.window}, 0) AS flags FROM n
+  UNION ALL
+  SELECT series, i, ts, v, p, new, new_d, d, (list_sum(flags) >= {m.threshold})::INT::DOUBLE, level, trend, gap,
+    list_concat(season[1:k - 1], [new], season[k + 1:]), list_concat(deviation[1:k - 1], [new_d], deviation[k + 1:]), flags
+  FROM (
+    SELECT *, CASE WHEN guess IS NULL THEN NULL WHEN v IS NULL THEN d WHEN d IS NULL THEN abs(v - guess) ELSE {blend(g, 'abs(v - guess)', 'd')} END AS new_d,
+      list_concat([(d IS NOT NULL AND (v IS NULL OR coalesce(v > guess + {m.delta_pos} * d OR v < guess - {m.delta_neg} * d, false)))::INT], flags_[1:{m.window - 1}]) AS flags
+    FROM (
+      SELECT *, CASE WHEN opens THEN CASE WHEN s IS NULL THEN {remove.format('v', 'level')} ELSE {blend(m.gamma, remove.format('v', 'level'), 's')} END
+          WHEN level_ IS NOT NULL AND s IS NULL THEN {remove.format('v', 'level_')}
+          WHEN learns THEN {blend(m.gamma, remove.format('v', 'level'), 's')} ELSE s END AS new,
+        CASE WHEN opens THEN 0.0 WHEN learns THEN {blend(m.beta, 'level - level_', 'trend_')} ELSE trend_ END AS trend,
+        CASE WHEN opens OR learns THEN 1 WHEN p IS NOT NULL AND v IS NULL THEN gap_ + 1 ELSE gap_ END AS gap,
+        CASE WHEN opens THEN {apply.format('v', 's')} ELSE p END AS guess
+      FROM (
+        SELECT *, CASE WHEN opens THEN v WHEN learns THEN {blend(m.alpha, remove.format('v', 's'), 'level_ + gap_ * trend_')} ELSE level_ END AS level, {apply.format('(level_ + gap_ * trend_)', 's')} AS p
+        FROM (
+          SELECT n.series, n.i, n.ts, n.v, (n.i - 1) % {m.period} + 1 AS k, season[k] AS s, deviation[k] AS d, r.level AS level_, r.trend AS trend_, r.gap AS gap_, season, deviation, r.flags AS flags_,
+            r.level IS NULL AND n.v IS NOT NULL AS opens, r.level IS NOT NULL AND season[k] IS NOT NULL AND n.v IS NOT NULL AS learns
+          FROM r JOIN n ON n.series = r.series AND n.i = r.i + 1
+        )
+      )
+    )
+  )
+)
+SELECT series, ts, round(v, 6) AS v, round(p, 6) AS predicted, round(new, 6) AS seasonal, round(new_d, 6) AS deviation, round(d, 6) AS devpredict, failure FROM r WHERE i > 0"""
+
 
 for _n, _m in (("hw_predict", forecast.Model(24)), ("mhw_predict", forecast.Model(24, multiplicative=True)), ("hw_failures", forecast.Model(24, delta_pos=1.0, delta_neg=1.0, window=6, threshold=3))):
 
     def _hw(spark: SparkSession, sf_dir: str, m: forecast.Model = _m) -> DataFrame:
-        return out(forecast.forecast(hourly(spark, sf_dir), m))
+        return out(forecast.forecast(hourly(spark, sf_dir), m), 6)
 
-    query(None, _n)(_hw)
+    query(hw_sql(_m), _n)(_hw)
 
 
 # maintenance
@@ -378,13 +469,16 @@ def resize_shrink(spark, sf_dir):
     return out(admin.resized(s.points, s.db, 1, -380)[0].where("rra = 1").select("series", "ts", "v"))
 
 
-@query(f"WITH {rra_sql('AVERAGE', 6, 400)}{PICK}")
+@query(
+    f"""WITH {rra_sql('AVERAGE', 6, 400)}, n AS (SELECT DISTINCT series FROM rra), l AS (SELECT max(CAST(floor(epoch(ts)) AS BIGINT)) AS t FROM events),
+g AS (SELECT unnest(range((t - 401 * 21600) // 21600 * 21600 + 21600, (t - 21600) // 21600 * 21600 + 21601, 21600)) AS ts FROM l)
+SELECT n.series, g.ts, round(rra.v, 9) AS v FROM n CROSS JOIN g LEFT JOIN rra ON rra.series = n.series AND rra.ts = g.ts"""
+)
 def step_change(spark, sf_dir):
+    """The archives of a database whose step was made four times finer, as a fetch alone gives them."""
     s = database(spark, sf_dir)
     finer = s.db.restepped(4)
-    rows = fetch.fetch(s.points, finer, "AVERAGE", finer.last_update - 400 * 21600 - 21600, finer.last_update - 21600, 21600)[0]
-    kept = s.points.where("rra = 1").select("series", "ts")
-    return out(rows.join(kept, ["series", "ts"], "left_semi").unionByName(s.points.where("rra = 1").select("series", "ts", "v").join(rows, ["series", "ts"], "left_anti")))
+    return out(fetch.fetch(s.points, finer, "AVERAGE", finer.last_update - 401 * 21600, finer.last_update - 21600, 21600)[0])
 
 
 # files and texts
