@@ -131,8 +131,8 @@ def test_near_copies_by_exact_similarity(spark, odd, none):
                 far += (prints[i] ^ prints[j]).bit_count() > 4
                 reach[max(find(i), find(j))] = min(find(i), find(j))
     assert far  # four bits of SimHash do not reach these
-    for hot in (1, 8):
-        rows = similar.grouped(docs, hot=hot).collect()
+    for tries, turns in ((4, 2), (1, 0)):
+        rows = similar.grouped(docs, tries=tries, turns=turns).collect()
         least = {}
         for r in rows:
             least[r["root"]] = min(r["k_doc"], least.get(r["root"], 1 << 62))
@@ -237,6 +237,51 @@ def test_decontamination_finds_reordered_passages(spark, odd, none):
     assert decontaminate.contamination(odd, bench).count() == decontaminate.contamination(none, bench).count() == 0
 
 
+def plain_tile(item, doc, min_tile):
+    """Every length from the longest down, every pair of windows."""
+    free_i, free_d, out = [True] * len(item), [x >= 0 for x in doc], []
+    for size in range(min(len(item), len(doc)), min_tile - 1, -1):
+        for d in range(len(doc) - size + 1):
+            for i in range(len(item) - size + 1):
+                if all(free_i[i : i + size]) and all(free_d[d : d + size]) and item[i : i + size] == doc[d : d + size]:
+                    free_i[i : i + size] = free_d[d : d + size] = [False] * size
+                    out.append((i, d, size))
+    return out
+
+
+def test_tiles_are_the_greedy_ones():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        v = int(rng.choice([2, 3, 10]))
+        item, doc = rng.integers(0, v, rng.integers(1, 40)).tolist(), rng.integers(-1, v, rng.integers(1, 60)).tolist()
+        for least in (1, 3, 5):
+            assert decontaminate.tile(item, doc, least) == plain_tile(item, doc, least)
+
+
+def test_decontamination_rows(spark):
+    rng = np.random.default_rng(7)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 12, n))
+    items = [(i, word(int(rng.integers(1, 30)))) for i in range(20)] + [(20, ""), (None, word(9)), (3, word(12))]
+    docs = [(i, " ".join(rng.permutation(np.array([word(40), *(t for _, t in items[: i % 5])], object)))) for i in range(40)] + [(1, "W1, w2! w3"), (1, "W1, w2! w3"), (None, items[4][1].upper()), (50, None), (51, "")]
+    want, found = Counter(), set()
+    for d, text in docs:
+        for i, t in items:
+            ws, ds = decontaminate.words(t), decontaminate.words(text)
+            known = {w: k for k, w in enumerate(dict.fromkeys(ws))}
+            tiles = plain_tile([known[w] for w in ws], [known.get(w, -1) for w in ds], min(5, len(ws))) if ws else []
+            covered = sum(x[2] for x in tiles)
+            if tiles and covered >= 0.8 * len(ws):
+                want[d, i, len(ws), covered, len(tiles), round(covered / len(ws), 9)] += 1
+                found.add((d, text))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame([(*r, "mine") for r in docs], "doc_id long, text string, `a.key` string")
+    for words in (1_000_000, 40):  # one block, and several
+        rows = decontaminate.contamination(table, bench, block_words=words).collect()
+        assert Counter((*tuple(r)[:5], round(r["coverage"], 9)) for r in rows) == want
+    kept = decontaminate.clean(table, bench)
+    assert kept.columns == table.columns and Counter(tuple(r) for r in kept.collect()) == Counter((*r, "mine") for r in docs if r not in found)
+
+
 def test_language(odd, none):
     rows = language.identify(odd).collect()
     assert len(rows) == len(ROWS) and {r["lang_pred"] for r in rows if r["doc_id"] in (7, 8)} == {"und"}

@@ -6,11 +6,15 @@ words that are not marked yet, longest first; each is checked word by word and m
 sides, down to matches of min_tile words. Tiles may come in any order, so reordered passages count.
 A document is contaminated by an item of whose words its tiles cover ``threshold`` or more.
 
-The benchmark is cut into blocks of a bounded number of words; each block goes to every executor
-and meets all documents, and the results are put together. Documents are never shuffled.
+The benchmark is cut into blocks of about ``block_words`` words by a hash of the item, or one item
+where that is longer. One block at a time goes to every executor and meets all documents; with more
+than one, each block's rows are written to the shared folder and the block is let go. Documents are
+never shuffled.
 
 Defined results: null or wordless texts never match; an item with fewer words than min_tile is
-found only as a whole; repeated rows are judged each; a null doc_id or item_id is carried along.
+found only as a whole; texts of any length are read whole, in time that grows with their words (and
+the logarithm, times the number of different tile lengths); repeated rows are judged each, repeated
+items found each; a null doc_id or item_id is carried along; without documents or items no row.
 """
 
 from __future__ import annotations
@@ -27,57 +31,79 @@ from pyspark.sql import functions as F
 from . import common
 
 _WORD = re.compile(r"[^\W_]+")
-_BASE, _PRIME = 1_000_003, (1 << 61) - 1
+_BASE = 1_000_003
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _windows(ids: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-    """(start, Karp-Rabin hash) of every window of that many unmarked words."""
-    top, h, run = pow(_BASE, size, _PRIME), 0, 0
-    for at, x in enumerate(ids):
-        if not free[at]:
-            h = run = 0
-            continue
-        h, run = (h * _BASE + x + 1) % _PRIME, run + 1
-        if run > size:
-            h = (h - (ids[at - size] + 1) * top) % _PRIME
-        if run >= size:
-            yield at - size + 1, h
-
-
-def tile(item: list[int], doc: list[int], min_tile: int) -> list[tuple[int, int, int]]:
-    """(start in item, start in doc, length) of the greedy string tiling's tiles; word -1 in doc
-    stands for any word that the item has not."""
-    free_item, free_doc, out = [True] * len(item), [x >= 0 for x in doc], []
-    size = min(len(item), len(doc))
-    while size >= min_tile:
-        at_hash: dict[int, list[int]] = {}
-        for start, h in _windows(item, free_item, size):
-            at_hash.setdefault(h, []).append(start)
-        found = []
-        for d, h in _windows(doc, free_doc, size) if at_hash else ():
-            for i in at_hash.get(h, ()):
-                if item[i : i + size] == doc[d : d + size]:
-                    found.append((i, d))
-        for i, d in found:
-            if all(free_item[i : i + size]) and all(free_doc[d : d + size]):
-                free_item[i : i + size] = free_doc[d : d + size] = [False] * size
+class Side:
+    """Word ids of one text with the windows of unmarked words."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids = ids
+        n = len(ids)
+        with np.errstate(over="ignore"):
+            x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+            powers = lambda base: np.cumprod(np.array([1, *[base] * n], np.uint64), dtype=np.uint64)
+            self.down = powers(_INVERSE)
+            self.sums = np.zeros(n + 1, np.uint64)
+            self.sums[1:] = np.cumsum(x * powers(_BASE)[:n], dtype=np.uint64)
+        self.free = ids >= 0
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, Karp-Rabin hashes) of every window of that many unmarked words. The hash is a
+        polynomial modulo 2^64, rolled by prefix sums."""
+        m = len(self.ids) - size + 1
+        if m < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        marked = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(marked[size:] == marked[:m])
+        with np.errstate(over="ignore"):
+            return at, (self.sums[at + size] - self.sums[at]) * self.down[at]
+
+
+def tile(item, doc, min_tile: int) -> list[tuple[int, int, int]]:
+    """(start in item, start in doc, length) of the greedy string tiling's tiles: always the longest
+    match of unmarked words is marked next, of equally long ones the first in doc, then the first
+    in item. Word -1 in doc stands for any word that the item has not.
+
+    The longest length is found by halving, as a match has matches of every smaller length in it."""
+    a, b, out = Side(np.asarray(item, np.int64)), Side(np.asarray(doc, np.int64)), []
+
+    def common_windows(size: int) -> np.ndarray:
+        return np.intersect1d(a.windows(size)[1], b.windows(size)[1])
+
+    top = min(len(a.ids), len(b.ids))
+    while top >= min_tile and len(common_windows(min_tile)):
+        size, above = min_tile, top + 1
+        while above - size > 1:
+            mid = (size + above) // 2
+            size, above = (mid, above) if len(common_windows(mid)) else (size, mid)
+        both = common_windows(size)
+        (at_a, hash_a), (at_b, hash_b) = a.windows(size), b.windows(size)
+        starts: dict[int, list[int]] = {}
+        keep = np.isin(hash_a, both)
+        for i, h in zip(at_a[keep][::-1].tolist(), hash_a[keep][::-1].tolist()):
+            starts.setdefault(h, []).append(i)  # the first start is last, to be popped
+        keep = np.isin(hash_b, both)
+        for d, h in zip(at_b[keep].tolist(), hash_b[keep].tolist()):
+            if not b.free[d : d + size].all():
+                continue
+            left = starts[h]
+            while left and not a.free[left[-1] : left[-1] + size].all():
+                left.pop()  # what is marked stays marked
+            if left and (a.ids[left[-1] : left[-1] + size] == b.ids[d : d + size]).all():
+                i = left.pop()
+                a.free[i : i + size] = b.free[d : d + size] = False
                 out.append((i, d, size))
-        left = max((n for n in _free_runs(free_item)), default=0)
-        size = min(size - 1, left)
+        top = size - 1
     return out
 
 
-def _free_runs(free: list[bool]) -> Iterator[int]:
-    n = 0
-    for x in free:
-        n = n + 1 if x else 0
-        yield n
-
-
 class Block:
     """Some benchmark items with their seeds."""
 
@@ -125,7 +151,7 @@ class Block:
             joined: list[int] = []
             for p in parts:
                 joined += [*doc[edge[p] : edge[p + 1]].tolist(), -1]
-            tiles = tile(ids, joined, size)
+            tiles = tile(np.array(ids), np.array(joined), size)
             yield item_id, len(ids), sum(t[2] for t in tiles), len(tiles)
 
 
@@ -135,11 +161,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, thre
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("covered_words", pa.int32()), ("tiles", pa.int32()), ("coverage", pa.float64())])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def meet(items: list[tuple]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(items)  # at most block_words words, or one item
-
+    def meet(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Block(shared.value, min_tile)
+            block = Block([(i, words(t)) for i, t in shared.value], min_tile)
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
@@ -151,20 +175,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, thre
 
         return texts.mapInArrow(run, "doc_id long, item_id long, item_words int, covered_words int, tiles int, coverage double")
 
-    found, held, size = [], [], 0
-    for item_id, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        ws = words(text)
-        if held and size + len(ws) > block_words:
-            found.append(meet(held))
-            held, size = [], 0
-        if ws:
-            held.append((item_id, ws))
-            size += len(ws)
-    return reduce(DataFrame.unionByName, [*found, meet(held)])
+    sc = docs.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    n = -(-int(total) // block_words)
+    if n <= 1:
+        return meet(sc.broadcast([tuple(r) for r in items.collect()]))  # at most block_words words
+    out = []
+    for k in range(n):
+        shared = sc.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()])
+        out.append(common.checkpoint(meet(shared)))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, out)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without contaminated rows; columns stay. Rows are judged by their id and text."""
-    keyed = docs.withColumn("tm_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    bad = contamination(keyed.select(F.col("tm_key").alias("doc_id"), "text"), benchmark, **how)
-    return keyed.join(bad.select(F.col("doc_id").alias("tm_key")).distinct(), "tm_key", "left_anti").select(*docs.columns)
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    bad = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("key")).distinct()
+    held = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return held.join(bad, "key", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
