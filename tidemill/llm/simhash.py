@@ -60,7 +60,11 @@ def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
-    h = shingle_hashes(text.lower().split(), shingle)
+    return of_hashes(shingle_hashes(text.lower().split(), shingle))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of a text's shingles."""
     n = len(h)
     if n <= 1:
         return int(h[0]) if n else 0

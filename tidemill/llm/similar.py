@@ -1,20 +1,26 @@
-"""Near duplicates by exact similarity of word-shingle sets.
-
-Documents link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. No
-number of fingerprint bits holds all such pairs, so candidates come from a filter that loses none.
-All sets are ordered alike, by the shingles' hashes. Of a set of n shingles the first
-n - ceil(0.8 n) + 1 are its prefix: two sets with similarity 0.8 have a shingle in common that is in
-both prefixes. How many such shingles they need is known too: what sets have in common beyond is behind the
-prefix that ends first. Pairs with fewer go before any set is looked at. What is left is verified on the whole sets.
-
-Equal sets are one node. Groups of more than ``hot`` nodes with a shingle in common first verify a
-few pairs of each node, so that most of a family of copies is one component before pairs are
-listed; then only pairs across components are, and a shingle whose nodes are in one component has
-none. Every pair of two components stays a candidate: the result is the same as of all pairs. Nodes
-that are not similar but share a prefix shingle are listed pair by pair.
+"""Near duplicates: SimHash near-dedup, carried on to exact similarity of word-shingle sets.
+
+Documents link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. The
+first candidates are the links that SimHash with its pivot distance tables finds (:mod:`simhash`);
+each is verified on the whole sets. Fingerprints of pairs at 0.8 differ by about ten bits, more than
+any affordable number of blocks brings together, so what SimHash misses comes from a filter that
+loses none:
+
+All sets are ordered alike: shingles that many documents have stand last, the others by their
+hashes. Of a set of n shingles the first n - ceil(0.8 n) + 1 are its prefix: two sets with similarity
+0.8 have a shingle in common that is in both prefixes. How many such shingles they need is known too:
+what sets have in common beyond is behind the prefix that ends first. Pairs with fewer go before any
+set is looked at. What is left is verified on the whole sets. How many documents have a shingle is
+counted over all documents in a sketch of fixed size (2^22 counters); a count that is too high only
+moves a shingle back, in all sets alike, so the sketch decides on cost and never on results.
+
+Equal sets are one node. Nodes that share a prefix shingle first try a few partners outside their
+component, so that a family of copies becomes one component without its pairs being listed; after
+that, only nodes of different components are paired.
 
 Defined results: wordless texts have an empty set and are copies of each other; a text shorter than
-a shingle is one shingle; shingles are identified by 64-bit hashes, sets by 64-bit hashes of those.
+a shingle is one shingle; texts of any length are read whole; shingles are identified by 64-bit
+hashes, sets by 64-bit hashes of those.
 """
 
 from __future__ import annotations
@@ -27,10 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .components import components
 from .simhash import SEED, shingle_hashes
-from .suffixes import _ranges
 
 
 def prefix_size(n):
@@ -46,21 +51,68 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64))
 
 
-def nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    """k_doc, th, node, n, prefix (its hashes as bytes) for every row of docs."""
-    schema = pa.schema([("k_doc", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.binary())])
+#: Counters of the sketch, and of one of its slices.
+COUNTERS, SLICE = 1 << 22, 1 << 16
+
+
+def counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(42)).astype(np.int64)
+
+
+def levels(docs: DataFrame, shingle: int, least: int = 64) -> np.ndarray:
+    """Of each counter how many documents' shingles fall on it, as a power of two: 0 up to ``least``
+    or four times the mean."""
+    moved = pa.schema([("slice", pa.int32()), ("blob", pa.binary())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int32)
+        for batch in batches:
+            held = [shingle_set(t, shingle) for t in common.texts(batch["text"])]
+            if held:
+                total += np.bincount(counter(np.concatenate(held)), minlength=COUNTERS).astype(np.int32)
+        for k in range(0, COUNTERS, SLICE):
+            at = np.flatnonzero(total[k : k + SLICE])
+            yield from common.batches(moved, [[k // SLICE], [common.pack(np.diff(at, prepend=0).astype(np.uint16), total[k + at])]])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch["slice"].to_pylist(), batch["blob"].to_pylist()):
+                steps, n = common.unpack(blob)
+                held.setdefault(k, np.zeros(SLICE, np.int64))[np.cumsum(steps, dtype=np.int64)] += n
+        for k, n in held.items():
+            yield from common.batches(moved, [[k], [common.pack(n)]])
+
+    slices = common.identified(docs).select("text").mapInArrow(count, "slice int, blob binary")
+    total = np.zeros(COUNTERS, np.int64)
+    # 64 slices of fixed size
+    for k, blob in slices.repartition("slice").mapInArrow(add, "slice int, blob binary").collect():
+        total[k * SLICE : (k + 1) * SLICE] = common.unpack(blob)[0]
+    most = max(least, 4 * total.sum() / COUNTERS)
+    return np.where(total > most, np.ceil(np.log2(np.maximum(total, 1) / most)), 0).astype(np.uint8)
+
+
+def in_order(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """A set's shingles, those that many documents have last."""
+    return s[np.argsort(level[counter(s)], kind="stable")]
+
+
+def nodes(docs: DataFrame, shingle: int, level: np.ndarray) -> DataFrame:
+    """k_doc, th, fp, node, n, prefix (its hashes as bytes) for every row of docs."""
+    schema = pa.schema([("k_doc", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, prefix = [], [], []
+            rows = []
             for t in common.texts(batch["text"]):
-                s = shingle_set(t, shingle)
-                node.append(node_of(s))
-                n.append(len(s))
-                prefix.append(s[: prefix_size(len(s))].tobytes() if len(s) else b"")
-            yield from common.batches(schema, [batch["k_doc"], batch["th"], node, n, prefix])
+                h = shingle_hashes(t.lower().split(), shingle)
+                s = np.unique(h)
+                rows.append((simhash.of_hashes(h), node_of(s), len(s), in_order(s, level)[: prefix_size(len(s))].tobytes() if len(s) else b""))
+            if rows:
+                fp, *rest = zip(*rows)
+                yield from common.batches(schema, [batch["k_doc"], batch["th"], np.array(fp, np.uint64).view(np.int64), *rest])
 
-    return common.identified(docs).mapInArrow(run, "k_doc long, th long, node long, n long, prefix binary")
+    return common.identified(docs).mapInArrow(run, "k_doc long, th long, fp long, node long, n long, prefix binary")
 
 
 #: Bits of the filter of rows to compute sets of, and of one of its rows.
@@ -92,37 +144,20 @@ def sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def shared(marked: DataFrame) -> DataFrame:
-    """h, node: the prefix shingles that more than one node has, of all nodes that have them."""
-    n = common.partitions(marked.sparkSession)
-    moved, out = pa.schema([("range", pa.int32()), ("blob", pa.binary())]), pa.schema([("h", pa.int64()), ("node", pa.int64())])
+    """h, node, n: the prefix shingles that more than one node has, of all nodes that have them."""
+    out = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prefix = batch["prefix"].to_pylist()
-            h = np.frombuffer(b"".join(prefix), np.uint64)
-            node = np.repeat(batch["node"].to_numpy(), [len(p) // 8 for p in prefix])
-            with np.errstate(over="ignore"):
-                to = _ranges(h * np.uint64(0x9E3779B97F4A7C15), n)  # prefixes are low hashes: ranges of h would be uneven
-            order = np.lexsort((h, to))
-            h, node, to = h[order], node[order], to[order]
-            at = [*common.run_starts(to).tolist(), len(to)]
-            for a, b in zip(at, at[1:]):
-                yield from common.batches(moved, [[int(to[a])], [common.pack(np.diff(h[a:b], prepend=np.uint64(0)), node[a:b])]])
-
-    def gather(t: pa.Table) -> pa.Table:
-        parts = [common.unpack(b) for b in t["blob"].to_pylist()]
-        h = np.concatenate([np.cumsum(p[0]) for p in parts])
-        node = np.concatenate([p[1] for p in parts])
-        order = np.lexsort((node, h))
-        h, node = h[order], node[order]
-        first = common.run_starts(h, node)
-        h, node = h[first], node[first]
-        starts = common.run_starts(h)
-        size = np.diff(np.append(starts, len(h)))
-        many = np.repeat(size > 1, size)
-        return common.table(out, [h[many].view(np.int64), node[many]])
-
-    return marked.select("node", "prefix").mapInArrow(deal, "range int, blob binary").groupBy("range").applyInArrow(gather, "h long, node long")
+            size = [len(p) // 8 for p in prefix]
+            h = np.frombuffer(b"".join(prefix), np.int64)
+            yield from common.batches(out, [h, np.repeat(batch["node"].to_numpy(), size), np.repeat(batch["n"].to_numpy(), size)])
+
+    each = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).mapInArrow(rows, "h long, node long, n long")
+    # most shingles have one node: a count for each shingle is made before the nodes move
+    many = each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    return each.join(many, "h", "left_semi")
 
 
 _PAIR = pa.schema([(c, pa.int64()) for c in ("a", "b", "na", "nb", "c")])
@@ -181,75 +216,84 @@ def _ordered(node, n, i, j):
     return node[i], node[j], n[i], n[j]
 
 
-def few_pairs(hot: int, tries: int):
-    """About ``tries`` partners of each node, in groups of more than hot."""
+def few_pairs(tries: int, turn: int):
+    """About ``tries`` partners of each node in another component, others at each turn."""
 
     def run(h, node, n, root):
-        if not len(h):
-            return
-        starts = common.run_starts(h)
-        size = np.diff(np.append(starts, len(h)))
-        large = np.repeat(size > hot, size)
-        h, node, n = h[large], node[large], n[large]
-        if not len(h):
+        if len(h) < 2:
             return
         with np.errstate(over="ignore"):
-            mixed = (node.view(np.uint64) ^ h.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (node.view(np.uint64) ^ h.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         order = np.lexsort((mixed, h))
-        h, node, n, mixed = h[order], node[order], n[order], mixed[order]
+        h, node, n, root, mixed = h[order], node[order], n[order], root[order], mixed[order]
         i = np.arange(len(h) - 1)
         asks = (mixed[i] >> np.uint64(16)) % prefix_size(n[i]).astype(np.uint64) < tries
-        i = i[(h[i] == h[i + 1]) & asks & _close(n[i], n[i + 1])]
+        i = i[(h[i] == h[i + 1]) & asks & (root[i] != root[i + 1]) & _close(n[i], n[i + 1])]
         yield _ordered(node, n, i, i + 1)
 
     return run
 
 
-def all_pairs(h, node, n, root):
-    """Every pair of two components in a group."""
-    live, step = np.arange(len(h)), 1
-    while len(live):
-        live = live[live + step < len(h)]
-        live = live[h[live] == h[live + step]]
-        i = live[(root[live] != root[live + step]) & _close(n[live], n[live + step])]
-        if len(i):
-            yield _ordered(node, n, i, i + step)
-        step += 1
-
-
-def grouped(docs: DataFrame, shingle: int = 5, hot: int = 8, tries: int = 4) -> DataFrame:
+def across(h, node, n, root):
+    """Every pair of two components in a group, once: nodes of the largest component of a group meet
+    only the others, so that a family of copies costs no more than its number of outsiders."""
+    order = np.lexsort((root, h))
+    h, node, n, root = h[order], node[order], n[order], root[order]
+    starts = common.run_starts(h)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(h)]):
+        runs = a + common.run_starts(root[a:b])
+        if len(runs) < 2:
+            continue
+        size = np.diff(np.append(runs, b))
+        big = int(size.argmax())
+        inside = np.arange(runs[big], runs[big] + size[big])
+        others = np.concatenate([np.arange(a, runs[big]), np.arange(runs[big] + size[big], b)])
+        after = np.searchsorted(root[others], root[others], "right")  # the next component among the others
+        for k, i in enumerate(others.tolist()):
+            j = np.concatenate([inside, others[after[k] :]])
+            j = j[_close(n[i], n[j])]
+            if len(j):
+                yield _ordered(node, n, np.full(len(j), i), j)
+
+
+def grouped(docs: DataFrame, shingle: int = 5, tries: int = 4, turns: int = 2) -> DataFrame:
     """k_doc, th, node, root for every row of docs: rows with one root are near duplicates."""
-    marked = common.checkpoint(nodes(docs, shingle))
+    marked = common.checkpoint(nodes(docs, shingle, levels(docs, shingle)))
     rows = marked.drop("prefix")
     met = common.checkpoint(shared(marked))
-    first = rows.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("k_doc", "th")).alias("x"), F.first("n").alias("n"))
-    first = common.checkpoint(first.select("node", "n", "x.k_doc", "x.th"))
-    sized = first.select("node", "n")
+    first = common.checkpoint(rows.groupBy("node").agg(F.min(F.struct("k_doc", "th")).alias("x"), F.first("n").alias("n"), F.min("fp").alias("fp")).select("node", "n", "fp", "x.k_doc", "x.th"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets have similarity 0.8 or more."""
-        pairs = common.checkpoint(pairs.select("a", "b"))
+        pairs = common.checkpoint(pairs.select("a", "b").distinct())
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         of = sets(docs, first.join(wanted, "node", "left_semi").select("k_doc", "th"), shingle)
         both = pairs.join(of.toDF("a", "sa"), "a").join(of.toDF("b", "sb"), "b")
         near = both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb")))
         return common.checkpoint(near.select("a", "b"))
 
-    def pairs(roots: DataFrame, list_pairs) -> DataFrame:
-        known = met.join(sized.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "node").select("h", "node", "n", "root")
-        dealt = known.repartition(common.partitions(docs.sparkSession), "h").sortWithinPartitions("h")
-        found = dealt.mapInArrow(candidates(list_pairs), _PAIRS)
-        return found.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-
-    none = sized.limit(0).select("node", F.col("node").alias("root"))
-    near = verified(pairs(none, few_pairs(hot, tries)))
+    # SimHash: links of fingerprints, between the least nodes that have them, and nodes of one fingerprint
+    of_print = first.where("n > 0").groupBy("fp").agg(F.min("node").alias("node"))
+    linked = simhash.links(of_print.select("fp")).toDF("fa", "fb").join(of_print.toDF("fa", "a"), "fa").join(of_print.toDF("fb", "b"), "fb").select("a", "b")
+    same = first.where("n > 0").join(of_print.toDF("fp", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    near = verified(linked.unionByName(same))
     reached = components(near)
+
+    def pairs(list_pairs) -> DataFrame:
+        """Candidates among the nodes that share a prefix shingle with a node of another component."""
+        known = met.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = known.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+        dealt = known.join(mixed, "h", "left_semi").select("h", "node", "n", "root").repartition(common.partitions(docs.sparkSession), "h").sortWithinPartitions("h")
+        return dealt.mapInArrow(candidates(list_pairs), _PAIRS).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+
+    for turn in range(turns):
+        near = near.unionByName(verified(pairs(few_pairs(tries, turn))))
+        reached = components(near)
     prefix = lambda n: F.col(n) - F.floor((4 * F.col(n) + 4) / 5) + 1
     behind = F.greatest(F.col("na") - prefix("na"), F.col("nb") - prefix("nb"))
     may = F.col("c") + behind >= F.floor((4 * (F.col("na") + F.col("nb")) + 8) / 9)
-    rest = verified(pairs(reached, all_pairs).where(may))
-    reached = components(near.unionByName(rest))
+    reached = components(near.unionByName(verified(pairs(across).where(may))))
     return rows.join(reached, "node", "left").select("k_doc", "th", "node", F.coalesce("root", "node").alias("root"))
 
 
