@@ -6,11 +6,7 @@ event ids, a gauge of order prices for each priority (daily steps).
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +15,15 @@ from .functions.rpn import Expression, Grid
 from .operators import admin, consolidate, fetch, forecast, ingest, vdef
 from .plans.script import Script, Source
 from .schema import Archive, Database, DataSource
-from .sources import dump, exports, rrd
+from .sources import archives, dump, exports, rrd
 from .streaming import readings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 HOUR, DAY, HEARTBEAT = 3600, 86400, 14400
-#: The window of most queries: ten days of hours inside the events.
-START, END = 1704499200, 1705363200
+#: The window of most queries: the thirty days of the events.
+START, END = 1704067200, 1706659200
 INF = float("inf")
 
 
@@ -187,13 +183,28 @@ def orders_daily(spark, sf_dir):
 ARCHIVES = (Archive("AVERAGE", 0.5, 1, 1000), Archive("AVERAGE", 0.5, 6, 400), Archive("MAX", 0.5, 24, 60), Archive("LAST", 0.5, 1, 1000))
 
 
-def database(spark: SparkSession, sf_dir: str) -> Source:
+def ingested(spark: SparkSession, sf_dir: str) -> Source:
     """The events as one database: a data source for each event type, four archives."""
     readings = events(spark, sf_dir)
     pdp = hourly(spark, sf_dir)
     names, last = readings.agg(F.sort_array(F.collect_set("series")), F.max("ts")).first()  # types of events are few
     db = Database(HOUR, tuple(DataSource(n, "GAUGE", HEARTBEAT) for n in names), ARCHIVES, None, int(last))
-    return Source(db, consolidate.consolidate(pdp, list(ARCHIVES), HOUR))
+    return Source(db, consolidate.consolidate(pdp, list(ARCHIVES), HOUR).drop("cf"))
+
+
+#: Stored databases by application and input.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def database(spark: SparkSession, sf_dir: str) -> Source:
+    """That database as fetches find it: its archives are made of the readings once in a session and
+    stored; each fetch then reads the rows of its archive and window."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        source, folder = ingested(spark, sf_dir), archives.shared_folder(spark)
+        archives.store(source.points, source.db, folder)
+        _STORED[key] = folder
+    return archives.load(spark, _STORED[key])
 
 
 def script(spark: SparkSession, sf_dir: str, *elements: str, step: int = 1) -> Script:
@@ -469,6 +480,49 @@ def resize_shrink(spark, sf_dir):
     return out(admin.resized(s.points, s.db, 1, -380)[0].where("rra = 1").select("series", "ts", "v"))
 
 
+@query(f"WITH {rra_sql('MAX', 24, 60)}{PICK}")
+def archive_store(spark, sf_dir):
+    """Archives written to a new store in two parts and read back."""
+    s, folder = ingested(spark, sf_dir), archives.shared_folder(spark)
+    middle = (START + END) // 2
+    archives.store(s.points.where(F.col("ts") <= middle), s.db, folder)
+    archives.append(archives.load(spark, folder), s.points.where(F.col("ts") > middle), s.db.last_update, folder)
+    again = archives.load(spark, folder)
+    assert again.db == s.db
+    return out(again.points.where("rra = 2").select("series", "ts", "v"))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT * FROM (WITH {rra_sql(a.cf, a.pdp_per_row, a.rows)}, l AS (SELECT (max(ts) // 86400 - 3) * 86400 + 5000 AS t FROM rd) SELECT series AS ds, ts, '{a.cf}' AS cf, {a.pdp_per_row} AS pdp_per_row, round(v, 9) AS v FROM rra, l WHERE ts > t // {a.pdp_per_row * HOUR} * {a.pdp_per_row * HOUR})"
+        for a in ARCHIVES
+    )
+)
+def update_summary(spark, sf_dir):
+    """What the updates of the last days wrote."""
+    s = database(spark, sf_dir)
+    return out(admin.written(s.points, s.db, s.db.last_update // DAY * DAY - 3 * DAY + 5000).withColumnRenamed("series", "ds"))
+
+
+@query(f"WITH {rra_sql('AVERAGE', 6, 400)}{PICK}")
+def create_prefilled(spark, sf_dir):
+    """A new database with the rows of one of the same definition."""
+    s = database(spark, sf_dir)
+    new = Database(HOUR, s.db.sources, s.db.archives, s.db.last_update, s.db.last_update)
+    return out(admin.prefilled(s.points, s.db, new).where("rra = 1").select("series", "ts", "v"))
+
+
+@query(
+    f"""WITH {rra_sql('AVERAGE', 6, 400)} SELECT CASE series WHEN 'click' THEN 'hits' ELSE series END AS series, ts, round(v, 9) AS v FROM rra JOIN (SELECT max(last) AS top FROM e) ON ts > top - 380 * 21600 WHERE series <> 'error'"""
+)
+def tune_structure(spark, sf_dir):
+    """Several changes in one operation: a source renamed, one removed, an archive shortened."""
+    s = database(spark, sf_dir)
+    db, points = admin.restructured(s.db, s.points, rename={"click": "hits"}, remove_sources=("error",), resize={1: -20}, remove_archives=(0, 3))
+    assert [a.pdp_per_row for a in db.archives] == [6, 24] and db.archives[0].rows == 380
+    return out(points.where("rra = 0").select("series", "ts", "v"))
+
+
 @query(
     f"""WITH {rra_sql('AVERAGE', 6, 400)}, n AS (SELECT DISTINCT series FROM rra), l AS (SELECT max(CAST(floor(epoch(ts)) AS BIGINT)) AS t FROM events),
 g AS (SELECT unnest(range((t - 401 * 21600) // 21600 * 21600 + 21600, (t - 21600) // 21600 * 21600 + 21601, 21600)) AS ts FROM l)
@@ -484,21 +538,13 @@ def step_change(spark, sf_dir):
 # files and texts
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: below the one that the cluster names."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    folder = f"{urlparse(named).path if named else tempfile.gettempdir()}/tidemill-{uuid.uuid4().hex}"
-    os.makedirs(folder)
-    return folder
-
-
 STORED = f"WITH {rra_sql('AVERAGE', 6, 400)}, n AS (SELECT DISTINCT series, last FROM rra JOIN e USING (series)), l AS (SELECT max(CAST(floor(epoch(ts)) AS BIGINT)) // 21600 * 21600 AS t FROM events), g AS (SELECT n.series, l.t - 21600 * i AS ts FROM (SELECT DISTINCT series FROM n) n, l, range(400) AS r(i)) SELECT g.series, g.ts, round(rra.v, 9) AS v FROM g LEFT JOIN rra ON rra.series = g.series AND rra.ts = g.ts"
 
 
 @query(STORED)
 def rrd_file(spark, sf_dir):
     """The database written as a round-robin file and one of its archives read through the source."""
-    s, folder = database(spark, sf_dir), shared_folder(spark)
+    s, folder = database(spark, sf_dir), archives.local_path(archives.shared_folder(spark))
     with open(f"{folder}/events.rrd", "wb") as f:
         f.write(rrd.encode(rrd.filled(s.db, s.points)))
     return out(rrd.load(spark, folder).where("rra = 1").select("series", "ts", "v"))
@@ -507,7 +553,7 @@ def rrd_file(spark, sf_dir):
 @query(STORED)
 def dump_restore(spark, sf_dir):
     """The same by way of an XML dump, which keeps eleven digits."""
-    s, folder = database(spark, sf_dir), shared_folder(spark)
+    s, folder = database(spark, sf_dir), archives.local_path(archives.shared_folder(spark))
     rounded = s.points.withColumn("v", F.round("v", 9))
     with open(f"{folder}/events.rrd", "wb") as f:
         f.write(rrd.encode(dump.restore(dump.dump(rrd.filled(s.db, rounded)))))
@@ -553,7 +599,7 @@ def update_arguments(spark, sf_dir):
 @query(f"WITH {HOURLY}, a AS {series_sql('click')} SELECT ts, round(v, 9) AS click FROM a WHERE ts <= {END}")
 def at_style_window(spark, sf_dir):
     sources = {"events": database(spark, sf_dir)}
-    return out(Script.between("end-10d", "20240116 00:00", sources, now=END).run("DEF:a=events:click:AVERAGE", "XPORT:a:click").export())
+    return out(Script.between("end-30d", "20240131 00:00", sources, now=END).run("DEF:a=events:click:AVERAGE", "XPORT:a:click").export())
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
