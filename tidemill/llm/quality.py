@@ -1,12 +1,14 @@
 """Quality rules, line first.
 
 Every line is judged on its own by rules of punctuation, navigation and boilerplate; lines that
-fail go, and a document whose lines lose more than ``max_lost`` of its word characters is rejected.
+fail go, and a document whose lines lose more than ``max_lost`` of its word characters (code points
+of words) is rejected; one that loses exactly so much stays.
 The statistics of whole texts (words, symbols, repeated lines, repeated three-word windows) reject
 documents that are too short or mostly repetition before that.
 
 Defined results: a null or wordless text has no words and fails the base rule; an empty line passes
-(it has nothing to lose); a null doc_id is carried along; repeated rows are judged each.
+(it has nothing to lose); texts of any length are read whole; a null doc_id is carried along;
+repeated rows are judged each; without documents there are no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +34,12 @@ MIN_WORDS = 4
 NAVIGATION = re.compile(rb"(?:\A|[ \t])(?:\||>|\xc2\xbb|\xe2\x80\xba|\xc2\xb7|\xe2\x80\xa2)(?=[ \t]|\Z)")
 MIN_SEPARATORS = 3
 
-#: Phrases of pages' frames, in lower case.
+#: Phrases of pages' frames, in lower case: English, French, German, Spanish.
 BOILERPLATE = re.compile(
-    rb"all rights reserved|privacy policy|terms of (?:use|service)|cookie policy|accept (?:all )?cookies|"
+    "tous droits r\u00e9serv\u00e9s|politique de confidentialit\u00e9|mentions l\u00e9gales|conditions d'utilisation|accepter (?:tous )?les cookies|retour en haut|"
+    "alle rechte vorbehalten|datenschutzerkl\u00e4rung|nutzungsbedingungen|cookies (?:akzeptieren|zulassen)|zum seitenanfang|newsletter abonnieren|"
+    "todos los derechos reservados|pol\u00edtica de (?:privacidad|cookies)|aviso legal|condiciones de uso|aceptar (?:todas )?las cookies|volver arriba|".encode()
+    + rb"all rights reserved|privacy policy|terms of (?:use|service)|cookie policy|accept (?:all )?cookies|"
     rb"we use cookies|enable javascript|subscribe to our newsletter|sign up for our|click here to|"
     rb"skip to (?:main )?content|powered by|back to top|share this (?:page|article|post)|lorem ipsum|"
     rb"copyright (?:\(c\)|\xc2\xa9)|\xc2\xa9 ?\d{4}"
@@ -44,7 +49,7 @@ MAX_SYMBOLS = 0.2
 
 
 def code_points(raw: bytes) -> int:
-    return len(raw.decode("utf-8", "replace"))
+    return len(raw) if raw.isascii() else len(raw.decode("utf-8", "replace"))
 
 
 def line_fault(line: bytes) -> str | None:
@@ -52,12 +57,12 @@ def line_fault(line: bytes) -> str | None:
     words = line.split()
     if not words:
         return None
-    if BOILERPLATE.search(line.lower()):
+    if BOILERPLATE.search(line.lower() if line.isascii() else line.decode("utf-8", "replace").lower().encode()):
         return "boilerplate"
     separators = len(NAVIGATION.findall(line))
     if separators >= MIN_SEPARATORS and 3 * separators >= len(words) - separators:
         return "navigation"
-    if len(SYMBOLS.findall(line)) > MAX_SYMBOLS * sum(map(len, words)):
+    if len(SYMBOLS.findall(line)) > MAX_SYMBOLS * code_points(b"".join(words)):
         return "symbols"
     if len(words) < MIN_WORDS and not TERMINAL.search(line):
         return "punctuation"
@@ -87,7 +92,7 @@ def clean_lines(text: bytes) -> tuple[bytes, float]:
     """The lines that pass every rule, and the share of word characters lost with the others."""
     kept, lost, total = [], 0, 0
     for line in text.split(b"\n"):
-        n = sum(map(len, line.split()))
+        n = code_points(b"".join(line.split()))
         total += n
         if line_fault(line) is None:
             kept.append(line)
