@@ -35,7 +35,7 @@ SITES = (
     ("school", 0), ("theatre", 0), ("therapy", 0), ("the-paper", 0), ("north", 0), ("thermal", 0), ("project", 0), ("thin-ice", 0), ("other", 0),
     ("thread", 0), ("motion", 0), ("nation", 0), ("table", 0), ("action", 0), ("forum", 0), ("hospital", 0), ("council", 0), ("river", 0),
     ("orchestra", 0), ("shelter", 0), ("station", 0), ("tonight", 0), ("earth", 0), ("stable", 0), ("thinking", 0), ("heritage", 0), ("another", 0), ("bridges", 0), ("stories", 0), ("theories", 0),
-    ("clothes", 0), ("churches", 0), ("recipes", 0), ("islands", 0), ("gardens", 0), ("the-times", 0), ("", 0),
+    ("clothes", 0), ("churches", 0), ("recipes", 0), ("islands", 0), ("readers", 0), ("players", 0), ("gardens", 0), ("the-times", 0), ("", 0),
 )
 FORMS = ("https://{}example.com/en/45", "http://www.{}example.org/de/story.html", "https://m.{}example.net/es/7?page=2&ref=x", "http://blog.{}example.com/fr/12/")
 
