@@ -26,10 +26,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; set one only where none is named."""
+    """Use the shared folder named by spark.checkpoint.dir. Only a local session may go without, as
+    in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
 
 
@@ -68,18 +71,56 @@ def identified(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def row_of(docs: DataFrame):
+    """All columns of docs as one."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def rows_of(df: DataFrame, column: str, columns: list[str]) -> DataFrame:
+    """The columns that row_of() put into one."""
+    return df.select(*[F.col(column).getField(c).alias(c) for c in columns])
+
+
+def join_spread(rows: DataFrame, one: DataFrame, key: str, n: str, most: int, how: str = "inner") -> DataFrame:
+    """rows joined by key with one, which has a row for each key and in n how many of rows have it.
+
+    Keys of more than ``most`` rows are dealt over several tasks, by a hash of the whole row, and
+    their row of one goes to each. There are at most (all rows) / most such keys; callers give a
+    most that is a fixed part of a task's fair share, so that the list is bounded and is broadcast."""
+    salts = F.ceil(F.col(n) / F.lit(most)).cast("int")
+    hot = F.broadcast(one.where(F.col(n) > most).select(key, salts.alias("tm_salts")))
+    dealt = rows.join(hot, key, "left").withColumn("tm_salt", F.when(F.col("tm_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("tm_salts")).cast("int"))).drop("tm_salts")
+    copies = one.withColumn("tm_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > most, salts - 1).otherwise(0)))).drop(n)
+    return dealt.join(copies, [key, "tm_salt"], how).drop("tm_salt")
+
+
+def fair_share(spark: SparkSession, rows: int, part: int = 8) -> int:
+    """A part of the rows that a task gets if all get the same, but not few."""
+    return max(1000, rows // (part * partitions(spark)))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def least_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs with the least (k_doc, th) of each root in rows (k_doc, th, root), once if it repeats."""
+    """docs with the least (k_doc, th) of each root in rows (k_doc, th, root), once if it repeats: of
+    rows with one id and text that differ elsewhere the one with the least hash of all columns."""
     first = rows.groupBy("root").agg(F.min(F.struct("k_doc", "th")).alias("x")).select("x.k_doc", "x.th")
-    own = identified(docs, F.struct(*docs.columns).alias("tm_row")).drop("text")
-    kept = own.join(first, ["k_doc", "th"], "left_semi").groupBy("k_doc", "th").agg(F.first("tm_row").alias("tm_row"))
-    return kept.select(*[F.col("tm_row").getField(c).alias(c) for c in docs.columns])
+    own = identified(docs, row_of(docs).alias("tm_row")).drop("text").withColumn("tm_mix", F.xxhash64("tm_row"))
+    kept = own.join(first, ["k_doc", "th"], "left_semi").groupBy("k_doc", "th").agg(F.min_by("tm_row", "tm_mix").alias("tm_row"))
+    return rows_of(kept, "tm_row", docs.columns)
 
 
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 4_000_000
 
 
+def text_bytes(docs: DataFrame) -> int:
+    return int(docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
+
+
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents dealt into blocks of about block_bytes by a hash of their identity.
 
@@ -87,8 +128,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     time the block is computed; later passes name it by (block, place) alone.
     """
     rows = identified(docs)
-    total = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, int(total) // block_bytes)
+    n = max(1, text_bytes(docs) // block_bytes)
     return rows.withColumn("block", F.pmod(F.xxhash64("k_doc", "th"), F.lit(n)).cast("int"))
 
 

@@ -65,9 +65,9 @@ class EliasFano:
         return lo
 
 
-def in_mapping(*sequences: EliasFano) -> mmap.mmap:
-    """Move the sequences' arrays into one anonymous mapping."""
-    arrays = [(s, name, getattr(s, name)) for s in sequences for name in s.arrays()]
+def in_mapping(sequences: tuple[EliasFano, ...], holder: object, names: tuple[str, ...]) -> mmap.mmap:
+    """Move the sequences' arrays, and those that holder has under names, into one mapping."""
+    arrays = [(s, name, getattr(s, name)) for s in sequences for name in s.arrays()] + [(holder, name, getattr(holder, name)) for name in names]
     size = sum(-(-a.nbytes // 8) * 8 for _, _, a in arrays)
     held, at = mmap.mmap(-1, max(8, size)), 0
     for s, name, a in arrays:
@@ -79,26 +79,32 @@ def in_mapping(*sequences: EliasFano) -> mmap.mmap:
 
 
 class Trie:
-    """Two levels: words by their hash, and under each the contexts it was seen in.
+    """Two levels: words by their hash, and under each the words that were seen after it.
 
     Level one holds the words' hashes, a quantised unigram log-probability each, and monotone
-    pointers to level two. Level two holds the contexts, counted relative to their word's place so
-    that the whole level is monotone, and a quantised log-probability each.
+    pointers to level two. Level two holds the following words, counted relative to the place of the
+    word before them so that the whole level is monotone, and a quantised log-probability each.
+    Sequences and codes lie in one mapping.
     """
 
-    CONTEXT_BITS = 18
+    #: Of a following word's hash.
+    BITS = 40
 
-    def __init__(self, words: np.ndarray, single: np.ndarray, pairs: np.ndarray, pair_word: np.ndarray, context: np.ndarray) -> None:
-        """words: sorted hashes; pair_word, context: sorted; single, pairs: the quantised codes."""
+    def __init__(self, words: np.ndarray, single: np.ndarray, root: np.ndarray, after: np.ndarray, pairs: np.ndarray) -> None:
+        """words: sorted hashes; root (places of words), after: sorted; single, pairs: their codes."""
+        if len(words) >= 1 << (64 - self.BITS):
+            raise ValueError("more words than a range of the trie can tell apart: use more ranges")
         self.base = int(words[0]) if len(words) else 0
         top = int(words[-1]) - self.base + 1 if len(words) else 1
         self.words = EliasFano(words - np.uint64(self.base) if len(words) else words, top)
-        count = np.bincount(pair_word, minlength=len(words)) if len(words) else np.zeros(0, np.int64)
-        self.pointers = EliasFano(np.concatenate([[0], np.cumsum(count)]), len(context) + 1)
-        joined = (pair_word.astype(np.uint64) << np.uint64(self.CONTEXT_BITS)) | context.astype(np.uint64)
-        self.contexts = EliasFano(joined, max(1, len(words)) << self.CONTEXT_BITS)
+        count = np.bincount(root, minlength=len(words)) if len(words) else np.zeros(0, np.int64)
+        self.pointers = EliasFano(np.concatenate([[0], np.cumsum(count)]), len(after) + 1)
+        self.after = EliasFano(self.joined(root, after), max(1, len(words)) << self.BITS)
         self.single, self.pairs, self.top = single, pairs, top
-        self.mapping = in_mapping(self.words, self.pointers, self.contexts)
+        self.mapping = in_mapping((self.words, self.pointers, self.after), self, ("single", "pairs"))
+
+    def joined(self, root: np.ndarray, after: np.ndarray) -> np.ndarray:
+        return (root.astype(np.uint64) << np.uint64(self.BITS)) | after.astype(np.uint64)
 
     def find(self, words: np.ndarray) -> np.ndarray:
         """Places of hashes on level one, -1 where a word is unknown."""
@@ -110,18 +116,18 @@ class Trie:
         hit[hit] = self.words.get(at[hit]) == x[hit]
         return np.where(hit, at, -1)
 
-    def find_pairs(self, place: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Places on level two of (word's place, context), -1 where the pair is unknown."""
+    def find_pairs(self, place: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Places on level two of (word's place, word after it), -1 where the pair is unknown."""
         known = place >= 0
         p = np.where(known, place, 0)
         out = np.full(len(p), -1, np.int64)
-        if not self.contexts.n:
+        if not self.after.n:
             return out
         distinct, inverse = np.unique(p, return_inverse=True)
         lo, hi = self.pointers.get(distinct).astype(np.int64)[inverse], self.pointers.get(distinct + 1).astype(np.int64)[inverse]
-        x = (p.astype(np.uint64) << np.uint64(self.CONTEXT_BITS)) | context.astype(np.uint64)
-        at = self.contexts.successor(x, lo, np.where(known, hi, lo))
+        x = self.joined(p, after)
+        at = self.after.successor(x, lo, np.where(known, hi, lo))
         hit = known & (at < hi)
-        hit[hit] = self.contexts.get(at[hit]) == x[hit]
+        hit[hit] = self.after.get(at[hit]) == x[hit]
         out[hit] = at[hit]
         return out
