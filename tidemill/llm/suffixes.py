@@ -43,6 +43,8 @@ GRAM = 16
 CHUNK, LONGEST = 1 << 18, 512
 #: Bytes that are sorted together at least, if there are as many.
 SORTED_BYTES = 1 << 19
+#: Bytes of text to a hash range, at most.
+RANGE_BYTES = 16_000_000
 
 
 def window_keys(data: np.ndarray, size: int) -> np.ndarray:
@@ -362,7 +364,8 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 def dedup(docs: DataFrame, size: int = 50, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (UTF-8 bytes; null unless asked
     for) for every row of docs."""
-    plan = Plan(size, 2 * common.partitions(docs.sparkSession))
+    # as many ranges as the text needs, whatever the session's partitions are
+    plan = Plan(size, max(2 * common.partitions(docs.sparkSession), -(-common.text_bytes(docs) // RANGE_BYTES)))
     block = common.blocks(docs)
     moved = "range int, block int, kind int, blob binary"
     keys = block.groupBy("block").applyInArrow(lambda t: plan.keys_of_block(t), moved)
