@@ -1,8 +1,8 @@
 """Connected components of a distributed set of links.
 
-Alternating large-star and small-star steps: every step only takes the least neighbour of each node
-(aggregated before the shuffle) and joins it back, so a node with a third of all links is never
-gathered in one place. Each round is cut off by a checkpoint in the shared folder.
+Alternating large-star and small-star steps: every step takes the least neighbour of each node
+(aggregated before the shuffle) and joins it back; the rows of a node with many links are dealt over
+several tasks for that. Each round is cut off by a checkpoint in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, fair_share, join_spread
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
     side = F.col("v") > F.col("u") if large else F.col("v") < F.col("u")
-    moved = both.where(side).join(least, "u")
+    moved = join_spread(both.where(side), least, "u", "n", most)
     out = moved.select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.where(F.col("m") < F.col("u")).select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -35,4 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = now
-        edges = checkpoint(_star(_star(edges, True), False))
+        most = fair_share(edges.sparkSession, 2 * now[0])
+        edges = checkpoint(_star(_star(edges, True, most), False, most))

@@ -9,16 +9,20 @@ most d in every coordinate, so pairs whose maximum coordinate difference is larg
 and only survivors are verified bit by bit. Distances to a random reference vary by a few bits only
 (their standard deviation is 4), so the table alone would leave pairs to be looked at all over the
 input; rows are therefore brought together by the pigeonhole principle first: of six blocks of a
-fingerprint at least two agree in any pair with up to four differing bits. The table then works
+fingerprint at least two agree in any pair with up to four differing bits (of seven three, of eight
+four: the longer keys of larger inputs). The table then works
 inside each group of rows that agree in two blocks, sorted by the first coordinate, so that a row
 is only held against the window of rows within max_bits of it.
 
 Copies share a fingerprint and count once. A group never lists its pairs: it passes on a spanning
 forest of its links. Groups over ``hot`` rows are cut into slices and every pair of slices becomes
-a task of its own, so no group has to fit in one task.
+a task of its own, so no group has to fit in one task. Where rows meet their fingerprint's component,
+fingerprints and components of many rows are dealt over several tasks too.
 
-Defined results: a null or wordless text has fingerprint 0 and links like any other; a null doc_id
-takes part but is never a component's id unless all its ids are null; repeated rows stay.
+Defined results: a null or wordless text has fingerprint 0 and links like any other; a bit that
+exactly half the hashes have is 0; texts of any length are read whole; a null doc_id takes part but is
+never a component's id unless all its ids are null (then it is null); repeated rows stay; without
+documents there are no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +39,6 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-#: Widths of the six blocks.
-WIDTHS = (11, 11, 11, 11, 10, 10)
 PIVOTS = 24
 SEED = 42
 
@@ -157,16 +159,39 @@ def link_groups(max_bits: int):
     return run
 
 
-def links(nodes: DataFrame, max_bits: int = 4, hot: int = 1024) -> DataFrame:
-    """Distinct fingerprints (fp long) in; links (a, b) that connect whatever is within max_bits."""
+def blocks_for(nodes: int) -> tuple[int, int]:
+    """(blocks, how many of them have to agree): more and longer keys for more fingerprints, so that
+    the rows of a key stay few. The pairs found are the same."""
+    return (6, 2) if nodes <= 1 << 25 else (7, 3) if nodes <= 1 << 30 else (8, 4)
+
+
+def keys(of_blocks: int, agree: int) -> list:
+    """A key for every choice of so many blocks, as columns over fp."""
+    widths = [len(x) for x in np.array_split(np.arange(64), of_blocks)]
+    at = np.cumsum((0, *widths)).tolist()
+    block = [F.shiftrightunsigned("fp", at[i]).bitwiseAND(F.lit((1 << w) - 1)) for i, w in enumerate(widths)]
+    out = []
+    for t, chosen in enumerate(combinations(range(of_blocks), agree)):
+        key = F.lit(t).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, widths[i]) + block[i]
+        out.append(key)
+    return out
+
+
+def links(nodes: DataFrame, max_bits: int = 4, hot: int = 1024, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """Distinct fingerprints (fp long) in; links (a, b) that connect whatever is within max_bits.
+    hot: rows of a key that one task holds at most, or a fair share of all rows where that is more."""
     if not 0 <= max_bits <= 4:
-        raise ValueError("six blocks find pairs of up to four differing bits")
-    at = np.cumsum((0, *WIDTHS)).tolist()
-    block = [F.shiftrightunsigned("fp", at[i]).bitwiseAND(F.lit((1 << w) - 1)) for i, w in enumerate(WIDTHS)]
-    both = [F.lit(t << 40) + F.shiftleft(block[i], 20) + block[j] for t, (i, j) in enumerate(combinations(range(6), 2))]
-    keyed = nodes.select("fp", F.explode(F.array(*both)).alias("key"))
-    large = keyed.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / F.lit(hot // 2)).cast("int").alias("s"))
-    cut = keyed.join(large, "key", "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
+        raise ValueError("the blocks find pairs of up to four differing bits")
+    n = nodes.count()
+    of_blocks, agree = blocks or blocks_for(n)
+    each = keys(of_blocks, agree)
+    keyed = nodes.select("fp", F.explode(F.array(*each)).alias("key"))
+    most = max(hot, n * len(each) // (8 * common.partitions(nodes.sparkSession)))
+    # at most 8 keys for each partition are so large: their list goes to every task
+    large = keyed.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / F.lit(most // 2)).cast("int").alias("s"))
+    cut = keyed.join(F.broadcast(large), "key", "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
     pair = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     pair = pair.select("key", F.least("cut", "o").alias("bi"), F.greatest("cut", "o").alias("bj"), "cut", "fp")
     dealt = pair.repartition(common.partitions(nodes.sparkSession), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
@@ -174,20 +199,25 @@ def links(nodes: DataFrame, max_bits: int = 4, hot: int = 1024) -> DataFrame:
 
 
 def grouped(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """k_doc, th, fp, root for every row of docs: rows with one root are near duplicates."""
+    """k_doc, th, fp, root, least for every row of docs: rows with one root are near duplicates and
+    least is the least k_doc among them."""
+    spark = docs.sparkSession
     prints = common.checkpoint(fingerprints(docs, shingle))
+    own = common.checkpoint(prints.groupBy("fp").agg(F.min("k_doc").alias("least"), F.count("*").alias("n")))
     # signed order of fingerprints is as good as any for naming components
-    reached = components(links(prints.select("fp").distinct(), max_bits))
-    return prints.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("k_doc", "th", "fp", F.coalesce("root", "fp").alias("root"))
+    reached = components(links(own.select("fp"), max_bits))
+    known = own.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = known.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("members"))
+    rows, members = own.agg(F.sum("n"), F.count("*")).first()
+    by_print = common.join_spread(known.drop("least"), roots, "root", "members", common.fair_share(spark, members or 0))
+    return common.join_spread(prints, by_print, "fp", "n", common.fair_share(spark, rows or 0)).select("k_doc", "th", "fp", "root", "least")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id of all documents that
     links reach) for every row of docs."""
-    rows = grouped(docs, shingle, max_bits)
-    named = rows.groupBy("root").agg(F.min("k_doc").alias("least"))
     real = lambda c: F.when(F.col(c) != common.NULL_DOC, F.col(c))
-    return rows.join(named, "root").select(real("k_doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real("least").alias("component_id"))
+    return grouped(docs, shingle, max_bits).select(real("k_doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real("least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFrame:
