@@ -14,9 +14,9 @@ set is looked at. What is left is verified on the whole sets. How many documents
 counted over all documents in a sketch of fixed size (2^22 counters); a count that is too high only
 moves a shingle back, in all sets alike, so the sketch decides on cost and never on results.
 
-Equal sets are one node. Nodes that share a prefix shingle first try a few partners outside their
-component, so that a family of copies becomes one component without its pairs being listed; after
-that, only nodes of different components are paired.
+Equal sets are one node. Nodes that share a prefix shingle first try a few partners, so that a family
+of copies becomes one component without its pairs being listed; after that, only nodes of different
+components are paired.
 
 Defined results: wordless texts have an empty set and are copies of each other; a text shorter than
 a shingle is one shingle; texts of any length are read whole; shingles are identified by 64-bit
@@ -26,6 +26,7 @@ hashes, sets by 64-bit hashes of those.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -217,7 +218,7 @@ def _ordered(node, n, i, j):
 
 
 def few_pairs(tries: int, turn: int):
-    """About ``tries`` partners of each node in another component, others at each turn."""
+    """About ``tries`` partners of each node, others at each turn."""
 
     def run(h, node, n, root):
         if len(h) < 2:
@@ -257,7 +258,7 @@ def across(h, node, n, root):
                 yield _ordered(node, n, np.full(len(j), i), j)
 
 
-def grouped(docs: DataFrame, shingle: int = 5, tries: int = 4, turns: int = 2) -> DataFrame:
+def grouped(docs: DataFrame, shingle: int = 5, tries: int = 4, turns: int = 1) -> DataFrame:
     """k_doc, th, node, root for every row of docs: rows with one root are near duplicates."""
     marked = common.checkpoint(nodes(docs, shingle, levels(docs, shingle)))
     rows = marked.drop("prefix")
@@ -277,23 +278,22 @@ def grouped(docs: DataFrame, shingle: int = 5, tries: int = 4, turns: int = 2) -
     of_print = first.where("n > 0").groupBy("fp").agg(F.min("node").alias("node"))
     linked = simhash.links(of_print.select("fp")).toDF("fa", "fb").join(of_print.toDF("fa", "a"), "fa").join(of_print.toDF("fb", "b"), "fb").select("a", "b")
     same = first.where("n > 0").join(of_print.toDF("fp", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    near = verified(linked.unionByName(same))
-    reached = components(near)
 
-    def pairs(list_pairs) -> DataFrame:
+    def pairs(reached: DataFrame, list_pairs) -> DataFrame:
         """Candidates among the nodes that share a prefix shingle with a node of another component."""
         known = met.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = known.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
         dealt = known.join(mixed, "h", "left_semi").select("h", "node", "n", "root").repartition(common.partitions(docs.sparkSession), "h").sortWithinPartitions("h")
         return dealt.mapInArrow(candidates(list_pairs), _PAIRS).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
 
-    for turn in range(turns):
-        near = near.unionByName(verified(pairs(few_pairs(tries, turn))))
-        reached = components(near)
+    # none is linked yet: each node is its own component
+    alone = first.select("node", F.col("node").alias("root")).limit(0)
+    near = verified(reduce(DataFrame.unionByName, [pairs(alone, few_pairs(tries, turn)).select("a", "b") for turn in range(turns)], linked.unionByName(same)))
+    reached = components(near)
     prefix = lambda n: F.col(n) - F.floor((4 * F.col(n) + 4) / 5) + 1
     behind = F.greatest(F.col("na") - prefix("na"), F.col("nb") - prefix("nb"))
     may = F.col("c") + behind >= F.floor((4 * (F.col("na") + F.col("nb")) + 8) / 9)
-    reached = components(near.unionByName(verified(pairs(across).where(may))))
+    reached = components(near.unionByName(verified(pairs(reached, across).where(may))))
     return rows.join(reached, "node", "left").select("k_doc", "th", "node", F.coalesce("root", "node").alias("root"))
 
 
