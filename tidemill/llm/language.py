@@ -12,7 +12,11 @@ texts, which bounds a language to 1 / min_share n-grams whatever the size of the
 is fit on a bounded sample: about ``sample_per_language`` documents of each language, chosen by a
 hash. Predictions read text alone.
 
-Defined results: a null text or one without a letter is ``und`` with score 0; so is everything when
+The share keeps out n-grams that a language's texts have by chance (names, foreign words): a filter
+of them would contain the other languages too.
+
+Defined results: texts of any length are read whole; rows that repeat are told each, and without
+documents there are no rows; a null text or one without a letter is ``und`` with score 0; so is everything when
 there is no labelled text. A text in a script that no language contains gets the first language and
 score 0. Ties go to the language that sorts first. A null doc_id hashes as the empty text.
 """
@@ -20,6 +24,7 @@ score 0. Ties go to the language that sorts first. A null doc_id hashes as the e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +38,20 @@ ORDERS = (2, 3, 4)
 HASHES = 3
 
 
+@cache
+def _letters() -> np.ndarray:
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
 class Letters:
     """Code points of a text as words of lower-case letters with single spaces around them."""
 
-    SPAN = 0x3000
-
     def __init__(self) -> None:
-        self.is_letter = np.array([chr(i).isalpha() for i in range(self.SPAN)])
+        self.is_letter = _letters()
 
     def __call__(self, text: str) -> np.ndarray:
         c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        letter = np.ones(len(c), bool)
-        low = c < self.SPAN
-        letter[low] = self.is_letter[c[low]]
-        c = np.where(letter, c, 32)
+        c = np.where(self.is_letter[c], c, 32)
         c = np.concatenate([[32], c, [32]]).astype(np.uint64)
         return c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
 
@@ -178,6 +183,6 @@ def known_language(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """Rows of docs whose language is told; those without a letter, or of whose n-grams no learnt
     language contains min_score, go. The columns stay as they are."""
     filters = train(docs.where(common.fold("doc_id", 3) != 1))
-    rows = docs.select(F.struct(*docs.columns).alias("tm_row"), "text")
+    rows = docs.select(common.row_of(docs).alias("tm_row"), "text")
     told = predict(rows, filters, "tm_row").where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
     return told.select(*[F.col("tm_row").getField(c).alias(c) for c in docs.columns])

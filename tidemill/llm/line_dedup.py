@@ -169,7 +169,7 @@ def deduplicated(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """docs with the dropped lines cut out of its texts; all rows and all columns stay, n_chars
     (if there) follows the text. A null text stays null."""
     plain = [c for c in docs.columns if c not in ("text", "n_chars")]
-    rows = common.identified(docs, F.struct(*plain).alias("tm_row")).join(keep_bitmaps(docs, min_chars), ["k_doc", "th"])
+    rows = common.identified(docs, F.struct(*[F.col(f"`{c}`") for c in plain]).alias("tm_row")).join(keep_bitmaps(docs, min_chars), ["k_doc", "th"])
     out = rows.select("tm_row", F.when(F.col("text").isNotNull(), kept_text("text", "keep", "n_lines")).alias("tm_text"))
     columns = {c: F.col("tm_row").getField(c) for c in plain} | {"text": F.col("tm_text"), "n_chars": F.char_length("tm_text").cast("long")}
     return out.select(*[columns[c].alias(c) for c in docs.columns])
