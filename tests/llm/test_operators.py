@@ -1,6 +1,9 @@
 """The corpus operators against plain versions, and their behaviour on odd tables."""
 
 import hashlib
+import math
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -80,8 +83,19 @@ def test_large_groups_of_near_fingerprints(spark):
     base = np.random.default_rng(3).integers(0, 1 << 62)
     fps = sorted({int(base) ^ (1 << i) ^ (1 << j) for i in range(0, 40) for j in range(40)})
     nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
+    components = []
+    for blocks in ((6, 2), (7, 3), (8, 4)):
+        root = {x: x for x in fps}
+        for a, b in simhash.links(nodes, 4, hot=64, blocks=blocks).collect():
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        components.append(sum(a == b for a, b in root.items()))
+    assert components == [1, 1, 1]
     pairs = simhash.links(nodes, 4, hot=64).distinct().collect()
-    assert all((a ^ b).bit_count() <= 4 for a, b in pairs) or pairs
+    assert pairs and all((a ^ b) & ((1 << 64) - 1) and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4 for a, b in pairs)
     root = {x: x for x in fps}
 
     def find(x):
@@ -175,11 +189,44 @@ def test_elias_fano():
         assert (e.get(np.arange(n)) == v).all() and (e.successor(x, np.zeros(50), np.full(50, n)) == np.searchsorted(v, x)).all()
 
 
-def test_lm_score(odd, none):
+def plain_lm(rows, prior=3.0, discount=0.75):
+    """doc_id, held_out, n_tokens, n_known, N, base_score, score by dictionaries, unrounded."""
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+    tokens = [[*(t or "").encode().lower().split(), None] for _, t in rows]
+    c, pairs, contexts = Counter(), Counter(), Counter()
+    for (d, _), ts in zip(rows, tokens):
+        if not held(d):
+            c.update(ts)
+            pairs.update(zip(["start", *ts], ts))
+            contexts.update(["start", *ts[:-1]])
+    n, v = sum(c.values()), len(c)
+    single = lambda w: (c[w] - discount) / n if c[w] else min(1, discount * v / n)
+    out = []
+    for (d, _), ts in zip(rows, tokens):
+        base = sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts)
+        p = [(pairs[a, b] + prior * single(b)) / (contexts[a] + prior) for a, b in zip(["start", *ts], ts)]
+        out.append((d, held(d), len(ts), sum(c[t] > 0 for t in ts), n, base, sum(map(math.log10, p))))
+    return out
+
+
+def test_lm_score(spark, odd, none):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{int(x)}" for x in rng.zipf(1.3, n) % 3000)
+    rows = [(int(i), word(int(rng.integers(0, 200)))) for i in range(300)] + [(5, "the END"), (5, "the END"), (None, "w1 w2 w1"), (9, None), (2, LONG)]
+    want = plain_lm(rows)
+    for shape in ("8", "3"):  # partitions, and so ranges and frequent words
+        spark.conf.set("spark.sql.shuffle.partitions", shape)
+        got = sorted(map(tuple, lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+        for g, w in zip(got, sorted(want, key=str)):
+            assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 * (1 + abs(w[5]))
+            # each token is rounded down by at most 1/16
+            assert w[6] - g[2] / 16 - 1e-6 <= g[6] <= w[6] + 1e-6
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     rows = lm_score.score(odd).collect()
-    assert len(rows) == len(ROWS) and all(r["score"] <= 0 for r in rows)
-    assert {r["n_tokens"] for r in rows if r["doc_id"] in (7, 8)} == {1}
+    assert len(rows) == len(ROWS) and {r["n_tokens"] for r in rows if r["doc_id"] in (7, 8)} == {1}
     assert lm_score.score(none).count() == 0
+    unseen = lm_score.score(spark.createDataFrame([(2, "a b")], "doc_id long, text string").where("doc_id is null or true")).first()
+    assert unseen["held_out"] == (zlib.crc32(b"2") % 7 == 2)
 
 
 def test_packing(odd, none):
@@ -292,7 +339,36 @@ def test_quality(odd, none):
     rows = {r["doc_id"]: r for r in quality.judge(odd).collect()}
     assert rows[7]["n_words"] == 0 and rows[7]["base_failed"] and rows[9]["base_failed"] and rows[3]["n_dup_lines"] == 1
     assert quality.line_fault(b"home | about | contact | more") == "navigation" and quality.line_fault(b"A sentence of five words.") is None
+    assert quality.line_fault("© 2024 Alle Rechte VORBEHALTEN.".encode()) == "boilerplate"
     assert quality.base(b"a b c x a b c")[4] == 6 and quality.judge(none).count() == 0
+    # characters of words are counted, not bytes: 8 of 41 go
+    assert abs(quality.clean_lines("漢字漢字漢字漢字\nthis line of words has thirty-three letters.".encode())[1] - 8 / 46) < 0.01
+
+
+def test_quality_base_columns_and_verdicts(spark):
+    rng = np.random.default_rng(9)
+    lines = ["the cat sat on the mat and looked at the sea.", "home | about | news | contact", "tous droits réservés", "$$$ *** ###", "one two", "", " \t", "été déjà vu là-bas, où ça ? Oui.", "a b a b a b a b"]
+    texts = ["\n".join(rng.choice(lines, int(rng.integers(0, 14)))) for _ in range(60)] + ["x " * 49, "x y z " * 17, " ".join(f"w{k}" for k in range(50)), " ".join(f"w{k}" for k in range(49)), None, LONG]
+    spaces = re.compile("[ \t-\r]+")
+
+    def plain(t):
+        t = t or ""
+        ws = [w for w in spaces.split(t) if w]
+        seen, dup = [], 0
+        for line in t.split("\n"):
+            has = bool(spaces.sub("", line))
+            dup += has and line in seen
+            seen += [line] * has
+        windows = [tuple(ws[k : k + 3]) for k in range(len(ws) - 2)]
+        often = Counter(windows)
+        repeated = {k + j for k, w in enumerate(windows) for j in range(3) if often[w] > 1}
+        failed = len(ws) < 50 or 100 * len(repeated) > 50 * len(ws)
+        total = sum(len(spaces.sub("", x)) for x in t.split("\n"))
+        lost = sum(len(spaces.sub("", x)) for x in t.split("\n") if quality.line_fault(x.encode()))
+        return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(repeated), failed, not failed and 2 * lost <= total
+
+    rows = quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: tuple(r)[1:8] for r in rows} == {i: plain(t) for i, t in enumerate(texts)}
 
 
 def test_urls(spark):
@@ -302,6 +378,41 @@ def test_urls(spark):
     assert got[4][2:] == ("example.com/de/", "block") and got[5][2:] == (None, "block") and got[6][2:] == ("org/fr/", "allow")
 
 
+def test_url_columns(spark):
+    made = [f"{a}://{h}{p}" for a in ("http", "", "HTTPS") for h in ("A.net", "net", "xnet", "Example.net:80", "u@example.com", "b.example.COM", "org", "ÄB.org") for p in ("", "/", "/en", "/en/x?/fr/#y", "/de/1", "#/de/", "?q=http://a.net/", "/fr/é")]
+    made += ["", "://", "a://b://c/d", "x" * 70_000 + "://host.example.org/fr/" + "y" * 70_000, None]
+
+    def plain(u):
+        host = path = ""
+        if u and "://" in u:
+            rest = u[u.index("://") + 3 :]
+            host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+            path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+            host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [(r, v) for v, r in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        return host, path, *(max(fits, key=lambda x: len(x[0])) if fits else (None, None))
+
+    table = spark.createDataFrame([(i, u, 1, "z") for i, u in enumerate(made)] + [(0, made[0], 1, "z")], "page_id long, url string, host int, verdict string")
+    rows = urls.filter_urls(table).collect()
+    assert len(rows) == len(made) + 1 and {r["verdict"] for r in rows} == {"allow", "block"}
+    for r in rows:
+        host, path, rule, verdict = plain(made[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and verdict in (None, r["verdict"])
+    assert urls.filter_urls(table.limit(0)).count() == 0
+
+
+def test_urls_of_sites_that_are_not_in_the_table():
+    weights = urls.fit()
+
+    def blocked(url):
+        f = urls.features(*urls.host_and_path(url))
+        return weights[f].sum() / np.sqrt(len(f)) + weights[-1] > 0
+
+    names = {n for n, _ in urls.SITES}
+    for name, label in (("cheap-pills", 1), ("casino-win", 1), ("spam-farm", 1), ("free-bets", 1), ("kitchen", 0), ("wildlife", 0), ("teachers", 0)):
+        assert name not in names and all(blocked(form.format(name + ".")) == bool(label) for form in urls.FORMS)
+
+
 def test_toxicity(spark, none):
     clean, bad = "the day was calm and the sea was blue for all of us", "you idiot the day was calm you scum"
     docs = spark.createDataFrame([(i, f"{bad if i % 4 == 0 else clean} {i}") for i in range(200)] + [(900, None), (None, "")], "doc_id long, text string")
@@ -312,6 +423,82 @@ def test_toxicity(spark, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_probabilities(spark):
+    rng = np.random.default_rng(11)
+    rows = [(" ".join(f"w{int(x)}" for x in rng.zipf(1.5, int(rng.integers(1, 40))) % 50), int(rng.integers(0, 2)), int(rng.integers(0, 4))) for _ in range(80)] + [("", 1, 0), ("only", 0, 1)]
+    sample = spark.createDataFrame(rows, "text string, toxic long, fold long")
+    got = {}
+    for r in toxicity.probabilities(toxicity.counts(sample)).collect():
+        got.setdefault(r["model"], {})[r["word"]] = r["p_toxic"], r["p_ordinary"]
+    for model in range(toxicity.FOLDS + 1):
+        held = [(toxicity.words(t), y) for t, y, fold in rows if fold != model]
+        c = {y: Counter(w for ws, z in held if z == y for w in set(ws)) for y in (0, 1)}
+        after = Counter(b for _, b in {p for ws, _ in held for p in zip(ws, ws[1:])})
+        vocabulary = set(c[0]) | set(c[1])
+        every = sum(after[w] for w in vocabulary) + (len(vocabulary) + 1) / 2
+
+        def p(w, y):
+            times = Counter(c[y].values())
+            d = times[1] / (times[1] + 2 * times[2]) if times[1] else 0.5
+            n = sum(c[y].values())
+            return max(c[y][w] - d, 0) / n + d * len(c[y]) / n * (after[w] + 0.5) / every
+
+        assert set(got[model]) == vocabulary
+        for w in vocabulary:
+            assert np.allclose(got[model][w], (p(w, 1), p(w, 0)), rtol=1e-9)
+        for y in (0, 1):  # with the event of a word that no text has
+            assert abs(sum(p(w, y) for w in vocabulary) + p("unseen", y) - 1) < 1e-9
+
+
+def test_toxicity_of_held_out_texts(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{int(x)}" for x in rng.zipf(1.2, n) % 2000]
+    rows = []
+    for i in range(900):
+        ws = word(int(rng.integers(20, 120)))
+        if i % 5 == 0:
+            for k in range(0, len(ws), 12):
+                ws[k] = f"insult{int(rng.integers(0, 12))}"
+        rows.append((i, " ".join(ws), i, "x"))
+    docs = spark.createDataFrame([*rows, rows[5], rows[10]], "doc_id long, text string, toxic int, score string")
+    labels = spark.range(900).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), (F.col("id") % 5 == 0).cast("int").alias("toxic"))
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 902 and all(0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.97 * len(held)
+    # neither the class with more texts nor a long text changes what a text's words say
+    long = spark.createDataFrame([(None, " ".join(word(60_000)), 0, ""), (None, " ".join([*word(20), "insult3"] * 2000), 0, "")], docs.schema)
+    scores = [r["predicted"] for r in toxicity.toxicity(docs.unionByName(long), labels).where("doc_id is null").orderBy("score").collect()]
+    assert scores == [0, 1]
+
+
+def test_language_filters_against_exact_sets(spark, none):
+    rng = np.random.default_rng(13)
+    syllables = {"aa": ["ka", "to", "mi", "re"], "bb": ["schu", "lich", "ter", "au"], "cc": ["ção", "qué", "eau", "où"], "字": ["漢", "語", "文", "字"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(syllables[lang], int(rng.integers(1, 4)))) for _ in range(n))
+    rows = [(i, text(lang, int(rng.integers(3, 60))), lang, "x") for i, lang in enumerate([*syllables] * 60)]
+    odd = [(1000, None, "aa", "x"), (1001, "123 ！？ 🙂 …", "aa", "x"), (1002, "", None, "x"), (None, text("bb", 30), None, "x"), (1004, text("aa", 50_000), None, "x"), (3, rows[3][1], "cc", "x")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, held_out string")
+    got = language.identify(docs).collect()
+    assert len(got) == len(rows) + len(odd)
+    told = {r["doc_id"]: (r["lang_pred"], r["held_out"], r["score"]) for r in got if r["doc_id"] != 3}
+    assert all(told[i][0] == lang for i, _, lang, _ in rows if i != 3)
+    assert [told[i][0] for i in (1000, 1001, 1002, None, 1004)] == ["und", "und", "und", "bb", "aa"]
+    # shares of n-grams that a language contains, against exact sets of those beyond the least share
+    train = docs.where("lang is not null and doc_id < 240")
+    filters, letters = language.train(train), language.Letters()
+    exact = {}
+    for lang in syllables:
+        h, n = np.unique(np.concatenate([language.ngram_hashes(letters(t)) for i, t, x, _ in rows if x == lang]), return_counts=True)
+        exact[lang] = set(h[n >= 2e-5 * n.sum()].tolist())
+    for _, t, _, _ in rows[:40]:
+        h = language.ngram_hashes(letters(t))
+        for k, lang in enumerate(filters.languages):
+            assert abs(filters.shares(h)[k] - sum(x in exact[lang] for x in h.tolist()) / len(h)) < 0.02
+    assert not letters.is_letter[0x1F642] and letters.is_letter[0x6F22]
+    assert language.identify(none).count() == 0 and language.known_language(docs).columns == docs.columns
+
+
 def test_only_marks_with_a_text_are_drawn(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (2, "c d"), (3, None)], "doc_id long, text string")
     marks = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
