@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions.rpn import Expression, Grid
-from tidemill.operators import consolidate, fetch, forecast, ingest, vdef
+from tidemill.operators import admin, consolidate, fetch, forecast, ingest, vdef
 from tidemill.plans.script import Script
 from tidemill.schema import Archive, Database, DataSource, duration
 
@@ -93,5 +93,72 @@ def test_archive_choice_and_window():
 def test_forecast_of_a_constant(spark):
     rows = spark.createDataFrame([("s", 10 * i, 5.0) for i in range(12)], "series string, ts long, v double")
     got = [r["predicted"] for r in forecast.forecast(rows, forecast.Model(4)).orderBy("ts").collect()]
-    assert got[:5] == [None] * 4 + [5.0] or got[0] is None
-    assert all(abs(x - 5) < 1e-9 for x in got[6:])
+    # the first season gives coefficients, and every step after it a prediction
+    assert got[:4] == [None] * 4 and all(abs(x - 5) < 1e-9 for x in got[4:])
+
+
+def test_forecast_of_runs_and_what_it_carries(spark):
+    m = forecast.Model(3, 0.5, 0.1, 0.25, smoothing=0.7)
+    known = [(0, 4.0, 1), (1, 6.0, 1), (2, 8.0, 1), (3, 5.0, 1), (4, 6.0, 1), (5, 9.0, 1)]
+    runs = [(6, 5.0, 2), (7, 5.0, 2), (8, 7.0, 1), (9, 1.0, 4), (10, 1.0, 4), (11, 1.0, 4), (12, 1.0, 4), (13, 6.0, 1)]
+    rows = spark.createDataFrame([(k, 10 * t, v, n) for k in "ab" for t, v, n in known + runs], "series string, ts long, v double, run int")
+    got = forecast.forecast(rows, m).where("series = 'b'").orderBy("ts").collect()
+
+    # the same by hand
+    nan = math.nan
+    season, level, trend, gap = [nan] * 3, nan, nan, 1
+    want, at, ahead = [], 0, 0
+    for _, x, n in known + runs:
+        s, p = season[(at + ahead) % 3], nan
+        if n > 2:
+            gap, ahead, new = gap + 1, 0, nan
+        elif math.isnan(level):
+            level, trend, new = x, 0.0, 0.0
+        elif math.isnan(s):
+            new = x - level
+        else:
+            p, before = level + gap * trend + s, level
+            level = 0.5 * (x - s) + 0.5 * (level + gap * trend)
+            trend, gap, new = 0.1 * (level - before) + 0.9 * trend, 1, 0.25 * (x - level) + 0.75 * s
+        if n == 1:
+            season[at] = new
+        ahead, at = (int(n == 2) if n < 3 else 0), (at + 1) % 3
+        want.append(p)
+    assert [None if math.isnan(p) else round(p, 9) for p in want] == [None if r["predicted"] is None else round(r["predicted"], 9) for r in got]
+    assert all(r["failure"] == 0 for r in got[9:13]) and [r["devpredict"] for r in got[9:13]] == [None] * 4
+    state = forecast.states(rows, m, smooth=False).where("series = 'a'").first()
+    assert (round(state["level"], 9), round(state["trend"], 9), state["gap"], state["at"]) == (round(level, 9), round(trend, 9), gap, at)
+    assert [round(x, 9) for x in state["season"]] == [round(x, 9) for x in season]
+    # the pass takes the mean of three neighbours, here all of them: what is left is 0 and the level has the mean
+    smooth = forecast.states(rows, m).where("series = 'a'").first()
+    assert all(abs(x) < 1e-9 for x in smooth["season"]) and abs(smooth["level"] - level - sum(season) / 3) < 1e-9
+
+
+def test_smoothing_adds_the_mean_to_the_level_of_both_models():
+    for multiplicative, left in ((False, [-1.0, 0.0, 1.0]), (True, [0.5, 1.0, 1.5])):
+        state = forecast.State(level=10.0, season=[1.0, 2.0, 3.0], deviation=[1.0, math.nan, 1.0])
+        state.smooth(forecast.Model(3, multiplicative=multiplicative, smoothing=0.0))
+        assert state.season == left and state.level == 12.0 and math.isnan(state.deviation[1])
+
+
+def test_runs_of_readings(spark):
+    rows = spark.createDataFrame([("s", t, 1.0) for t in (0, 10, 45, 50, 71)], "series string, ts long, v double")
+    got = ingest.pdps(rows, DataSource("v", "GAUGE", 100), 10, runs=True).orderBy("ts").collect()
+    assert [(r["ts"], r["run"]) for r in got] == [(10, 1), (20, 3), (30, 3), (40, 3), (50, 1), (60, 2), (70, 2)]
+
+
+def test_changes_of_structure(spark):
+    db = Database.create(["DS:a:GAUGE:20:U:U", "DS:b:GAUGE:20:U:U", "RRA:AVERAGE:0.5:1:4", "RRA:MAX:0.5:2:2"], 10, 0)
+    points = spark.createDataFrame([(s, i, t, float(t)) for s in "ab" for i, k in ((0, 10), (1, 20)) for t in range(k, 41, k)], "series string, rra int, ts long, v double")
+    new, rows = admin.restructured(db, points, rename={"b": "c"}, remove_sources=("a",), add_sources=(DataSource("d"),), resize={0: -2}, remove_archives=(1,))
+    assert [s.name for s in new.sources] == ["c", "d"] and [a.rows for a in new.archives] == [2]
+    assert sorted(tuple(r) for r in rows.select("series", "rra", "ts").collect()) == [("c", 0, 30), ("c", 0, 40)]
+    for wrong in ({"rename": {"x": "y"}}, {"rename": {"a": "b"}}, {"remove_archives": (0, 1)}, {"resize": {7: 1}}):
+        with pytest.raises(ValueError):
+            admin.restructured(db, points, **wrong)
+    with pytest.raises(ValueError):
+        admin.prefilled(points, db, Database(10, db.sources, db.archives, 5, 5))
+    with pytest.raises(ValueError):
+        admin.prefilled(points, db, Database(5, db.sources, db.archives, 0, 0))
+    assert admin.prefilled(points, db, db).count() == points.count()
+    assert sorted((r["ts"], r["cf"]) for r in admin.written(points.where("series = 'a'"), db, 25).collect()) == [(30, "AVERAGE"), (40, "AVERAGE"), (40, "MAX")]

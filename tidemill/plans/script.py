@@ -73,6 +73,7 @@ class Script:
     prints: list[tuple[DataFrame, ...]] = field(default_factory=list)
     fetched: dict[tuple, Series] = field(default_factory=dict)
     keys: tuple[str, ...] = ()
+    rules: list[tuple[str, float | DataFrame]] = field(default_factory=list)
 
     @classmethod
     def between(cls, start: str, end: str, sources: dict[str, Source], now: int, zone: str = "UTC", step: int = 1, rows: int | None = None) -> Script:
@@ -91,7 +92,9 @@ class Script:
                 getattr(self, kind.lower())(name, body)
             elif kind in ("SHIFT", "XPORT", "PRINT", "GPRINT", "LINE", "AREA", "STACK", "TICK"):
                 getattr(self, {"GPRINT": "print"}.get(kind, kind.lower()))(*fields(rest))
-            elif kind not in ("COMMENT", "TEXTALIGN", "HRULE", "VRULE"):
+            elif kind in ("HRULE", "VRULE"):
+                self.rule(kind, rest.split("#")[0])
+            elif kind not in ("COMMENT", "TEXTALIGN"):
                 raise ValueError(f"unknown element {kind!r}")
         return self
 
@@ -256,6 +259,23 @@ class Script:
             out.append(height.alias(n))
         return rows.select(*out)
 
+    def rule(self, kind: str, place: str) -> None:
+        """A line across at a value (HRULE) or a time (VRULE): a number, or what a VDEF gives."""
+        if place in self.scalars:
+            s = self.scalars[place]
+            self.rules.append((kind, s.select(*self.keys, F.col("value" if kind == "HRULE" else "time").cast("double").alias("at"))))
+        else:
+            self.rules.append((kind, float(place)))
+
+    def ruled(self) -> DataFrame:
+        """place, kind, at (and keys where a VDEF has them) of all rules in order."""
+        spark = next(iter(self.series.values())).rows.sparkSession
+        parts = []
+        for i, (kind, at) in enumerate(self.rules):
+            rows = at if isinstance(at, DataFrame) else spark.createDataFrame([(at,)], "at double")
+            parts.append(rows.select(F.lit(i).alias("place"), F.lit(kind).alias("kind"), *[c for c in rows.columns]))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
     def ticks(self, name: str) -> DataFrame:
         return self.series[name].rows.where((F.col("v") != 0) & (F.abs("v") < float("inf")))
 

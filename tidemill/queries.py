@@ -396,6 +396,12 @@ def stack_columns(spark, sf_dir):
     return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "DEF:b=events:view:AVERAGE", "AREA:a#ff0000", "STACK:b#00ff00").stacked())
 
 
+@query(f"WITH {HOURLY}, a AS {series_sql('click')} SELECT 0 AS place, 'HRULE' AS kind, 50.0::DOUBLE AS at UNION ALL SELECT 1, 'HRULE', round(avg(v), 9) FROM a UNION ALL SELECT 2, 'VRULE', arg_min(ts, -v)::DOUBLE FROM a")
+def rules(spark, sf_dir):
+    """Lines across a picture at a number, at an average and at the time of a maximum."""
+    return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "VDEF:m=a,AVERAGE", "VDEF:top=a,MAXIMUM", "HRULE:50#ff0000", "HRULE:m#00ff00:mean", "VRULE:top#0000ff").ruled())
+
+
 @query(f"WITH {HOURLY}, a AS {series_sql('click')} SELECT ts, round(v, 9) AS v FROM a WHERE v BETWEEN 45 AND 55")
 def tick_marks(spark, sf_dir):
     return out(script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "CDEF:t=a,45,55,LIMIT", "TICK:t#ff0000").ticks("t"))

@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -181,13 +182,40 @@ class Store:
     """Completed steps on their way to a table, and the commands of a write-behind daemon.
 
     Each batch writes a folder of its own and replaces it if it runs again, so a step is stored once
-    whatever fails. Suspended series wait in a table beside it and follow when resumed.
+    whatever fails. Steps of suspended series are stored as waiting and are read once resumed.
+    Commands are appended to a table beside the checkpoint, so a store that is opened again knows
+    what is suspended and what was forgotten; stored steps are never rewritten.
     """
 
     def __init__(self, spark: SparkSession, path: str, checkpoint: str, key: str = "series") -> None:
         self.spark, self.path, self.checkpoint, self.key = spark, path, checkpoint, key
         self.suspended: set[str] = set()
+        self.forgotten: dict[str, int] = {}  # of a series, the last batch whose waiting steps are dropped
         self.query: StreamingQuery | None = None
+        self.commands = 0
+        try:
+            told = spark.read.schema("number long, command string, series string, batch long").parquet(f"{checkpoint}-commands").orderBy("number").collect()
+        except AnalysisException:  # no command was given yet
+            told = []
+        for number, command, series, batch in told:
+            self.commands = number + 1
+            self._obey(command, series, batch)
+
+    def _obey(self, command: str, series: str, batch: int | None) -> None:
+        if command == "suspend":
+            self.suspended.add(series)
+        elif command == "resume":
+            self.suspended.discard(series)
+        else:
+            self.forgotten[series] = batch
+
+    def _give(self, command: str, names: list[str], batch: int | None = None) -> None:
+        if names:
+            rows = [(self.commands + i, command, n, batch) for i, n in enumerate(names)]
+            self.spark.createDataFrame(rows, "number long, command string, series string, batch long").coalesce(1).write.mode("append").parquet(f"{self.checkpoint}-commands")
+            self.commands += len(rows)
+            for n in names:
+                self._obey(command, n, batch)
 
     def start(self, steps: DataFrame, every: str | None = None) -> Store:
         """every: how often to write, such as ``300 seconds``; as soon as possible without."""
@@ -199,10 +227,18 @@ class Store:
         held = F.col(self.key).isin(*self.suspended) if self.suspended else F.lit(False)
         batch.withColumn("waits", held).write.mode("overwrite").partitionBy("waits").parquet(f"{self.path}/batch={number}")
 
+    def _stored(self) -> DataFrame:
+        """All steps but those that were forgotten."""
+        every = self.spark.read.parquet(self.path)
+        if not self.forgotten:
+            return every
+        upto = F.create_map(*[F.lit(x) for pair in self.forgotten.items() for x in pair])[F.col(self.key)]
+        return every.where(~F.col("waits") | (F.col("batch") > F.coalesce(upto, F.lit(-1))))
+
     def rows(self) -> DataFrame:
         """What is stored of series that are not suspended; a series' waiting steps are there again
         once it is resumed."""
-        every = self.spark.read.parquet(self.path)
+        every = self._stored()
         return every.where(~F.col("waits") | ~F.col(self.key).isin(*self.suspended)) if self.suspended else every
 
     def flush(self) -> DataFrame:
@@ -211,24 +247,20 @@ class Store:
         return self.rows()
 
     def suspend(self, *series: str) -> None:
-        self.suspended |= set(series)
+        self._give("suspend", [*series])
 
     def resume(self, *series: str) -> None:
         """Without names all of them."""
-        self.suspended -= set(series or self.suspended)
+        self._give("resume", sorted(series or self.suspended))
 
     def pending(self) -> DataFrame:
         """Steps of suspended series."""
-        return self.spark.read.parquet(self.path).where(F.col("waits") & F.col(self.key).isin(*self.suspended))
+        return self._stored().where(F.col("waits") & F.col(self.key).isin(*self.suspended))
 
     def forget(self, series: str) -> None:
-        """Drop the waiting steps of a series: they are replaced by what is left of each batch."""
-        left = self.pending().where(F.col(self.key) == series).select("batch").distinct().toLocalIterator()
-        for row in left:
-            folder = f"{self.path}/batch={row['batch']}"
-            kept = self.spark.read.parquet(folder).where(~(F.col("waits") & (F.col(self.key) == series)))
-            kept.write.mode("overwrite").partitionBy("waits").parquet(f"{self.checkpoint}/forget")
-            self.spark.read.parquet(f"{self.checkpoint}/forget").write.mode("overwrite").partitionBy("waits").parquet(folder)
+        """Drop the waiting steps of a series: those of all batches up to now are no longer read."""
+        last = self.spark.read.parquet(self.path).agg(F.max("batch")).first()[0]
+        self._give("forget", [series], last)
 
     def stats(self) -> dict[str, float]:
         p = self.query.lastProgress
