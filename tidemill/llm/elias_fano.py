@@ -6,6 +6,8 @@ import mmap
 
 import numpy as np
 
+from .common import run_starts as common_starts
+
 
 class EliasFano:
     """A monotone sequence of n values below universe in about 2 + log2(universe / n) bits each."""
@@ -44,7 +46,18 @@ class EliasFano:
             rank -= ones * upper
             at += width * upper
             x = np.where(upper, x >> np.uint64(width), half)
-        out = (at - i).astype(np.uint64) << np.uint64(self.low_bits)
+        return self._joined(at - i, i)
+
+    def stretch(self, a: int, b: int) -> np.ndarray:
+        """The values at positions a to b, read in one sweep over the bits."""
+        first, last = np.searchsorted(self.before, (a, b - 1), "right") - 1
+        ones = np.flatnonzero(np.unpackbits(self.high[first : last + 1].view(np.uint8), bitorder="little")) + first * 64
+        i = np.arange(a, b)
+        high = ones[a - self.before[first] :][: b - a] - i
+        return self._joined(high, i)
+
+    def _joined(self, high: np.ndarray, i: np.ndarray) -> np.ndarray:
+        out = high.astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
             bit = i * self.low_bits
             w, shift = bit >> 6, (bit & 63).astype(np.uint64)
@@ -52,6 +65,20 @@ class EliasFano:
             out |= low & np.uint64((1 << self.low_bits) - 1)
         return out
 
+    def successors(self, x: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """For each x, in ascending order, the first position whose value is at least x, else n: one
+        sweep over both, a stretch of the sequence at a time."""
+        x = np.asarray(x, np.uint64)
+        out, done = np.full(len(x), self.n, np.int64), 0
+        for a in range(0, self.n, step):
+            values = self.stretch(a, min(a + step, self.n))
+            upto = int(np.searchsorted(x, values[-1], "right"))
+            out[done:upto] = a + np.searchsorted(values, x[done:upto])
+            done = upto
+            if done == len(x):
+                break
+        return out
+
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """For each x the first position in [lo, hi) whose value is at least x, else hi."""
         x, lo, hi = np.asarray(x, np.uint64), np.array(lo, np.int64), np.array(hi, np.int64)
@@ -107,27 +134,32 @@ class Trie:
         return (root.astype(np.uint64) << np.uint64(self.BITS)) | after.astype(np.uint64)
 
     def find(self, words: np.ndarray) -> np.ndarray:
-        """Places of hashes on level one, -1 where a word is unknown."""
+        """Places on level one of hashes in ascending order, -1 where a word is unknown."""
         words = np.asarray(words, np.uint64)
         inside = (words >= np.uint64(self.base)) & (words - np.uint64(self.base) < np.uint64(self.top)) & (self.words.n > 0)
-        x = np.where(inside, words - np.uint64(self.base), 0)
-        at = self.words.successor(x, np.zeros(len(x), np.int64), np.where(inside, self.words.n, 0))
-        hit = inside & (at < self.words.n)
+        out = np.full(len(words), -1, np.int64)
+        x = words[inside] - np.uint64(self.base)
+        at = self.words.successors(x)
+        hit = at < self.words.n
         hit[hit] = self.words.get(at[hit]) == x[hit]
-        return np.where(hit, at, -1)
+        out[inside] = np.where(hit, at, -1)
+        return out
 
     def find_pairs(self, place: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Places on level two of (word's place, word after it), -1 where the pair is unknown."""
+        """Places on level two of (word's place, word after it) in ascending order, -1 where the
+        pair is unknown. Counted relative to their words' places the pairs ascend over the whole
+        level, so the search goes on from where the last one ended; the pointers tell whether what
+        it finds is still of the word."""
         known = place >= 0
-        p = np.where(known, place, 0)
-        out = np.full(len(p), -1, np.int64)
-        if not self.after.n:
+        out = np.full(len(place), -1, np.int64)
+        if not self.after.n or not known.any():
             return out
-        distinct, inverse = np.unique(p, return_inverse=True)
-        lo, hi = self.pointers.get(distinct).astype(np.int64)[inverse], self.pointers.get(distinct + 1).astype(np.int64)[inverse]
-        x = self.joined(p, after)
-        at = self.after.successor(x, lo, np.where(known, hi, lo))
-        hit = known & (at < hi)
+        p = place[known]
+        x = self.joined(p, after[known])
+        at = self.after.successors(x)
+        starts = common_starts(p)
+        end = np.repeat(self.pointers.get(p[starts] + 1).astype(np.int64), np.diff(np.append(starts, len(p))))
+        hit = at < end
         hit[hit] = self.after.get(at[hit]) == x[hit]
-        out[hit] = at[hit]
+        out[known] = np.where(hit, at, -1)
         return out

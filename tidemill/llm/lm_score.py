@@ -155,24 +155,25 @@ class Scorer:
         words, place = np.unique(np.concatenate(hashes), return_inverse=True)
         start = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
         key = np.concatenate([(np.repeat(place[a:b], p[1]).astype(np.uint64) << np.uint64(Trie.BITS)) | p[2] for a, b, p in zip(start[:-1], start[1:], parts)])
-        seen = np.concatenate([p[3] for p in parts]).astype(np.int64)
-        some = seen > 0
-        pairs, of = np.unique(key[some], return_inverse=True)
-        count = np.bincount(of, weights=seen[some], minlength=len(pairs)).astype(np.int64)
-        root = (pairs >> np.uint64(Trie.BITS)).astype(np.int64)
+        sizes = [len(p[3]) for p in parts]
+        pairs, of = np.unique(key, return_inverse=True)
+        count = np.bincount(of, weights=np.concatenate([p[3] for p in parts]), minlength=len(pairs)).astype(np.int64)
+        del key
+        root, after = (pairs >> np.uint64(Trie.BITS)).astype(np.int64), pairs & np.uint64((1 << Trie.BITS) - 1)
         total = np.bincount(root, weights=count, minlength=len(words)).astype(np.int64)
         own = np.minimum(np.searchsorted(self.frequent, words), len(self.frequent) - 1)
         total = np.where(self.frequent[own] == words, self.counts[own], total)
-        known = np.flatnonzero(total)
+        known, some = np.flatnonzero(total), count > 0
         rank = np.cumsum(total > 0) - 1
-        trie = Trie(words[known], quantised(self.single(total[known])), rank[root], pairs & np.uint64((1 << Trie.BITS) - 1), quantised(count / (total[root] + self.prior)))
-        out = []
-        for h, p in zip(hashes, parts):
-            at = trie.find(h)
-            pair = trie.find_pairs(np.repeat(at, p[1]), p[2])
-            code = np.where(pair >= 0, trie.pairs[pair], NONE).astype(np.uint8) if len(trie.pairs) else np.full(len(pair), NONE, np.uint8)
-            one = np.where(at >= 0, trie.single[at], quantised(np.array([self.unknown()]))[0]).astype(np.uint8) if len(known) else np.full(len(at), quantised(np.array([self.unknown()]))[0], np.uint8)
-            out.append(common.pack(code, one, np.where(at >= 0, total[known][at] if len(known) else 0, 0)))
+        trie = Trie(words[known], quantised(self.single(total[known])), rank[root[some]], after[some], quantised(count[some] / (total[root[some]] + self.prior)))
+        # all that the blocks ask for, each pair and word once
+        at = trie.find(words)
+        pair = trie.find_pairs(at[root], after)
+        code, one = np.full(len(pairs), NONE, np.uint8), np.full(len(words), quantised(np.array([self.unknown()]))[0], np.uint8)
+        code[pair >= 0] = trie.pairs[pair[pair >= 0]]
+        one[at >= 0] = trie.single[at[at >= 0]]
+        of, upto = of.astype(np.int32), np.cumsum([0, *sizes])
+        out = [common.pack(code[of[a:b]], one[w], total[w]) for a, b, w in zip(upto, upto[1:], (place[a:b] for a, b in zip(start, start[1:])))]
         return common.table(_MOVED, [t["range"].combine_chunks(), t["block"].combine_chunks(), out])
 
     def scores_of_block(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
