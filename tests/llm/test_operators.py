@@ -187,6 +187,7 @@ def test_elias_fano():
         e = elias_fano.EliasFano(v, u)
         x = rng.integers(0, u, 50, dtype=np.uint64)
         assert (e.get(np.arange(n)) == v).all() and (e.successor(x, np.zeros(50), np.full(50, n)) == np.searchsorted(v, x)).all()
+        assert (e.successors(np.sort(x), 64) == np.searchsorted(v, np.sort(x))).all() and (not n or (e.stretch(n // 3, n) == v[n // 3 :]).all())
 
 
 def plain_lm(rows, prior=3.0, discount=0.75):
@@ -209,6 +210,41 @@ def plain_lm(rows, prior=3.0, discount=0.75):
     return out
 
 
+def test_very_long_texts(spark):
+    """Longer than a chunk of suffixes (2^18 bytes) and a part of shingle hashes (2^16)."""
+    rng = np.random.default_rng(14)
+    base = [f"w{x}" for x in rng.integers(0, 30_000, 80_000)]
+    other = [f"v{x}" for x in rng.integers(0, 30_000, 300)]
+    rows = [(1, " ".join(base)), (2, " ".join([*other, *base[100:79_000], *other])), (3, " ".join(other)), (4, " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    h = simhash.shingle_hashes([w.encode() for w in base], 4)
+    bits = [2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h) for b in range(64)]
+    assert prints[1]["fingerprint"] == prints[4]["fingerprint"] == f"{sum(1 << b for b in range(64) if bits[b]):016x}"
+    assert prints[4]["component_id"] == 1
+
+    first, want = {}, {}
+    for d, t in rows:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if first.setdefault(b[p : p + 50], d) < d:
+                gone[p : p + 50] = True
+        want[d] = int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
+    assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in suffixes.dedup(docs).collect()} == want
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for d, text in rows:
+        assert sum(r["length"] for r in pieces if r["doc_id"] == d) == len(t.encode(text, add_special_tokens=False).ids) + 1
+    scores = {r["doc_id"]: r for r in lm_score.score(docs).collect()}
+    assert scores[1]["n_tokens"] == 80_001 and scores[1]["score"] == scores[4]["score"]
+    assert {r["doc_id"]: r["n_words"] for r in quality.judge(docs).collect()} == {1: 80_000, 2: 79_500, 3: 300, 4: 80_000}
+    kept = {r["doc_id"] for r in similar.one_of_each(docs).collect()}
+    assert kept == {1, 3}
+
+
 def test_lm_score(spark, odd, none):
     rng = np.random.default_rng(8)
     word = lambda n: " ".join(f"w{int(x)}" for x in rng.zipf(1.3, n) % 3000)
