@@ -86,6 +86,9 @@ def test_store(spark, tmp_path):
     assert store.rows().groupBy("series").count().where("count = 5").count() == 2 and store.pending().count() == 0
     store.suspend("b")
     store.forget("b")
+    # a store that is opened again knows its commands
+    again = readings.Store(spark, str(tmp_path / "rows"), str(tmp_path / "ck"))
+    assert again.suspended == {"b"} and again.pending().count() == 0
     store.resume("b")
     assert {r["series"] for r in store.rows().collect()} == {"a"} and store.stats()["suspended"] == 0
     store.stop()
