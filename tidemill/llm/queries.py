@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, language, line_dedup, lm_score, packing, quality, simhash, suffixes, toxicity, urls
 from .common import documents
@@ -36,11 +37,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(documents(spark, sf_dir)).drop("clean_text")
+    return quality.judge(documents(spark, sf_dir)).drop("clean_text").withColumn("lost", F.round("lost", 9))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(documents(spark, sf_dir))
+    rows = lm_score.score(documents(spark, sf_dir))
+    # sums of logarithms differ in their last digits with the order of their parts
+    return rows.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
