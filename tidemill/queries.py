@@ -240,16 +240,17 @@ def first_update(spark, sf_dir):
 
 
 def rpn(name: str, sql: str, *expressions: str, grid: bool = True) -> None:
-    """A query of several expressions over click (a) and view (b): columns e0, e1, ..."""
+    """A query of several expressions over click (a) and view (b): columns e0, e1, ...; a zero has no
+    sign."""
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = script(spark, sf_dir, "DEF:a=events:click:AVERAGE", "DEF:b=events:view:AVERAGE")
         rows = s.aligned(["a", "b"], s.series["a"].start, s.series["a"].end, HOUR).withColumn("series", F.lit("x"))
         g = Grid(step=HOUR, now=END)
         columns = [Expression.parse(e).column({"a": F.col("a"), "b": F.col("b")}, g) for e in expressions]
-        return rows.select("ts", *[F.round(c, 9).alias(f"e{i}") for i, c in enumerate(columns)])
+        return rows.select("ts", *[(F.round(c, 9) + F.lit(0.0)).alias(f"e{i}") for i, c in enumerate(columns)])
 
-    made = ", ".join(f"round(({x.strip()})::DOUBLE, 9) AS e{i}" for i, x in enumerate(sql.split(";")))
+    made = ", ".join(f"round(({x.strip()})::DOUBLE, 9) + 0 AS e{i}" for i, x in enumerate(sql.split(";")))
     query(f"WITH {AB} SELECT ts, {made} FROM w", name)(f)
 
 
@@ -262,8 +263,8 @@ rpn("rpn_math", "sin(a); cos(a); ln(abs(a)); exp(a / 100); atan(a); sqrt(abs(a))
 rpn("rpn_rounding", "floor(a); ceil(a); sign(a - b) * floor(abs(a - b) + 0.5)", "a,FLOOR", "a,CEIL", "a,b,-,ROUND")
 rpn("rpn_stack", "a + a; b - a; a; 2; a + b + a + b; a; b * 10 + a", "a,DUP,+", "a,b,EXC,-", "a,b,POP", "a,b,DEPTH,EXC,POP,EXC,POP", "a,b,2,COPY,+,+,+", "a,b,2,INDEX,EXC,POP,EXC,POP", "b,10,*,a,+")
 rpn("rpn_sort_rev", "least(a, b, 50) + 10 * (a + b + 50 - least(a, b, 50) - greatest(a, b, 50)) + 100 * greatest(a, b, 50); 50 + 10 * b + 100 * a", "a,b,50,3,SORT,100,*,EXC,10,*,+,+", "a,b,50,3,REV,100,*,EXC,10,*,+,+")
-rpn("rpn_setops", "(a + b + 30) / 3; least(a, b, 30); greatest(a, b, 30); list_sort([a, b, 30.0])[2]; list_stddev_samp([a, b, 30.0])", "a,b,30,3,AVG", "a,b,30,3,SMIN", "a,b,30,3,SMAX", "a,b,30,3,MEDIAN", "a,b,30,3,STDEV")
-rpn("rpn_percent", "list_sort([a, b, 30.0, 70.0])[2]; list_sort([a, b, 30.0, 70.0])[4]", "a,b,30,70,50,4,PERCENT", "a,b,30,70,95,4,PERCENT")
+rpn("rpn_setops", "list_avg([a, b, 30.0]); list_min([a, b, 30.0]); list_max([a, b, 30.0]); list_median([a, b, 30.0]); list_stddev_samp([a, b, 30.0])", "a,b,30,3,AVG", "a,b,30,3,SMIN", "a,b,30,3,SMAX", "a,b,30,3,MEDIAN", "a,b,30,3,STDEV")
+rpn("rpn_percent", "list_sort([a, b, 30.0, 70.0], 'ASC', 'NULLS FIRST')[2]; list_sort([a, b, 30.0, 70.0], 'ASC', 'NULLS FIRST')[4]", "a,b,30,70,50,4,PERCENT", "a,b,30,70,95,4,PERCENT")
 rpn("rpn_calendar", f"ts; {END}; 3600; (ts % 86400 < 3600)::INT; ((ts + 345600) // 604800 <> (ts - 3600 + 345600) // 604800)::INT; (month(to_timestamp(ts) AT TIME ZONE 'UTC') <> month(to_timestamp(ts - 3600) AT TIME ZONE 'UTC'))::INT; ts", "TIME", "NOW", "STEPWIDTH", "NEWDAY", "NEWWEEK", "NEWMONTH", "LTIME")
 rpn("rpn_roll", "3 + 10 * 1 + 100 * a; 2 + 10 * b", "b,7,a,3,1,ROLL,EXC,10,*,+,EXC,100,*,+", "a,b,2,0,ROLL,10,*,+")
 rpn("rpn_count", "row_number() OVER (ORDER BY ts)", "COUNT")
