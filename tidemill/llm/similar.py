@@ -258,7 +258,7 @@ def across(h, node, n, root):
                 yield _ordered(node, n, np.full(len(j), i), j)
 
 
-def grouped(docs: DataFrame, shingle: int = 5, tries: int = 4, turns: int = 1) -> DataFrame:
+def grouped(docs: DataFrame, shingle: int = 5, tries: int = 32, turns: int = 1) -> DataFrame:
     """k_doc, th, node, root for every row of docs: rows with one root are near duplicates."""
     marked = common.checkpoint(nodes(docs, shingle, levels(docs, shingle)))
     rows = marked.drop("prefix")
