@@ -3,8 +3,8 @@
 Documents link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. The
 first candidates are the links that SimHash with its pivot distance tables finds (:mod:`simhash`);
 each is verified on the whole sets. Fingerprints of pairs at 0.8 differ by about ten bits, more than
-any affordable number of blocks brings together, so what SimHash misses comes from a filter that
-loses none:
+any affordable number of blocks brings together, so what SimHash misses comes from a filter that is
+meant to lose none:
 
 All sets are ordered alike: shingles that many documents have stand last, the others by their
 hashes. Of a set of n shingles the first n - ceil(0.8 n) + 1 are its prefix: two sets with similarity
@@ -18,6 +18,8 @@ Equal sets are one node. Nodes that share a prefix shingle first try a few partn
 of copies becomes one component without its pairs being listed; after that, only nodes of different
 components are paired.
 
+The last step is known to miss a few links (README); the first candidates make up for most.
+
 Defined results: wordless texts have an empty set and are copies of each other; a text shorter than
 a shingle is one shingle; texts of any length are read whole; shingles are identified by 64-bit
 hashes, sets by 64-bit hashes of those.
