@@ -1,6 +1,7 @@
 """Golden and hand-computed cases of the time-series engine."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +163,27 @@ def test_changes_of_structure(spark):
         admin.prefilled(points, db, Database(5, db.sources, db.archives, 0, 0))
     assert admin.prefilled(points, db, db).count() == points.count()
     assert sorted((r["ts"], r["cf"]) for r in admin.written(points.where("series = 'a'"), db, 25).collect()) == [(30, "AVERAGE"), (40, "AVERAGE"), (40, "MAX")]
+
+
+def test_one_series_spreads_over_tasks(spark):
+    rng = random.Random(5)
+    t, rows = T0, []
+    for _ in range(400):
+        t += rng.choice([1, 60, 5_000, 9_000, 200_000])  # gaps within a day and over several
+        rows.append(("s", t, rng.choice([None, rng.random()])))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ingest.amounts(spark.createDataFrame(rows, "series string, ts long, v double"), DataSource("v", "GAUGE", 300_000)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["task"] for r in got}) > 1
+    assert sorted((r["prev"], r["ts"]) for r in got) == [(a[1], b[1]) for a, b in zip(rows, rows[1:])]
+    # a text keeps what the reading before it said, in another span too
+    counted = [("s", T0 + 50_000 * k, str(7 * k)) for k in range(20)]
+    got = ingest.amounts(spark.createDataFrame(counted, "series string, ts long, v string"), DataSource("v", "COUNTER", 300_000)).collect()
+    assert [r["a"] for r in got] == [7.0] * 19
+
+
+def test_closed_steps_are_hashed(spark, capsys):
+    ingest.pdps(readings(spark, [(0, 1.0), (10, 2.0)]), DataSource("v", "GAUGE", 20), 10).explain()
+    assert "SortAggregate" not in capsys.readouterr().out
