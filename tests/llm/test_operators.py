@@ -539,3 +539,22 @@ def test_only_marks_with_a_text_are_drawn(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (2, "c d"), (3, None)], "doc_id long, text string")
     marks = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
     assert sorted(tuple(r) for r in toxicity.with_text(docs, marks).collect()) == [(1, 1), (2, 0)]
+
+
+def test_new_words_are_tokenised_together():
+    tokens = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"), keep=3000)
+    calls, real = [0], tokens.tokenizer
+
+    class Counted:
+        def __getattr__(self, name):
+            calls[0] += name.startswith("encode")
+            return getattr(real, name)
+
+    tokens.tokenizer = Counted()
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("aeioukrst"), 7)) for _ in range(100)) for _ in range(50)]
+    texts += ["a\n\n b\t c  \r\n 'd don't '' 's.. x9 9x é ñ_", "", " ", "\n", " \n \n x\n", "漢 字\n", "<|endoftext|> a", "'s\n'same"]
+    want = [np.array(real.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    got = list(tokens.each(texts)) if hasattr(tokens, "each") else list(map(tokens, texts))
+    assert got == want and list(map(tokens, texts[-10:])) == want[-10:]
+    assert calls[0] < 100  # of some 5,000 different words

@@ -17,9 +17,10 @@ document like any other; repeated rows are packed each; an empty table gives no
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,32 +39,73 @@ _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f",
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+#: Characters of texts that are split at once, and words that are tokenised at once.
+_TEXTS, _WORDS = 1_000_000, 4_096
+
+
 class Tokens:
-    """A text's ids as little-endian 32-bit bytes. Words are looked up once and then kept."""
+    """A text's ids as little-endian 32-bit bytes. Words are looked up once and then kept; the new
+    words of several texts are tokenised together, one a line, as most of a call is not the word."""
 
     def __init__(self, path: str, keep: int = 300_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores; a pool of threads would only wait for work
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
-        class Known(dict):
-            def __missing__(known, word: str) -> bytes:
-                if len(known) >= self.keep:
-                    known.clear()
-                known[word] = ids = self.plainly(word)
-                return ids
-
-        self.known = Known()
+        self.known: dict[str, bytes] = {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
 
     def plainly(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word. A line's end joins no word, and no word has its id."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.line) if self.line is not None else []
+        if len(ends) != len(words) - 1:
+            yield from map(self.plainly, words)
+            return
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)]):
+            yield raw[a:b]
+
+    def learn(self, seen: set[str]) -> None:
+        new = seen.difference(self.known)
+        if len(self.known) + len(new) > self.keep:
+            self.known.clear()
+            new = seen
+        blank = [w for w in new if w.isspace()]  # would run into the line's end
+        self.known.update(zip(blank, map(self.plainly, blank)))
+        new = [w for w in new if not w.isspace()]
+        for k in range(0, len(new), _WORDS):
+            part = new[k : k + _WORDS]
+            self.known.update(zip(part, self.words(part)))
+
+    def each(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of every text in turn."""
+        held: list[str | list[str]] = []  # whole texts, and texts as their words
+        size = 0
+
+        def told() -> Iterator[bytes]:
+            self.learn({w for x in held if isinstance(x, list) for w in x})
+            for x in held:
+                yield self.plainly(x) if isinstance(x, str) else b"".join(map(self.known.__getitem__, x))
+
+        for text in texts:
+            whole = _OTHER.search(text) or self.special and self.special.search(text)
+            held.append(text if whole else _SPLIT.findall(text))
+            size += len(text)
+            if size >= _TEXTS:
+                yield from told()
+                held, size = [], 0
+        yield from told()
+
     def __call__(self, text: str) -> bytes:
-        if _OTHER.search(text) or self.special and self.special.search(text):
-            return self.plainly(text)
-        return b"".join(map(self.known.__getitem__, _SPLIT.findall(text)))
+        return next(self.each([text]))
 
 
 class SegmentTree:
@@ -135,8 +177,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         close = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = memoryview(tokens(text or "") + close)
+            for doc_id, text_ids in zip(batch["doc_id"].to_pylist(), tokens.each(text or "" for text in batch["text"].to_pylist())):
+                ids = memoryview(text_ids + close)
                 n, at, k = len(ids) // 4, 0, 0
                 while at < n:
                     size = (n - at) % capacity or capacity
