@@ -3,16 +3,18 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontaminate, elias_fano, language, line_dedup, lm_score, packing, quality, simhash, similar, suffixes, toxicity, urls
+from tidemill.llm import common, decontaminate, elias_fano, language, line_dedup, lm_score, packing, quality, simhash, similar, suffixes, toxicity, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k_doc string, th int, block string"
 LONG = "the quick brown fox jumps over the lazy dog and then rests. " * 400
@@ -558,3 +560,25 @@ def test_new_words_are_tokenised_together():
     got = list(tokens.each(texts)) if hasattr(tokens, "each") else list(map(tokens, texts))
     assert got == want and list(map(tokens, texts[-10:])) == want[-10:]
     assert calls[0] < 100  # of some 5,000 different words
+
+
+def test_sketch_holds_the_sets_of_few_texts(monkeypatch):
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):  # noqa: N802
+            raise LookupError(f)
+
+    monkeypatch.setattr(similar.common, "identified", lambda docs: Docs())
+    with pytest.raises(LookupError) as told:
+        similar.levels(None, 5)
+    (count,) = told.value.args
+    texts = [" ".join(f"{i}x{k}" for k in range(200)) for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    del texts
+    tracemalloc.start()
+    total = sum(int(common.unpack(b)[1].sum()) for out in count(iter([batch])) for b in out["blob"].to_pylist())
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert total == 10_000 * 196 and most < 70  # counters take 48, all sets 16 more for each copy

@@ -127,6 +127,7 @@ def train(docs: DataFrame, sample_per_language: int = 2000, min_share: float = 2
     sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < rate[F.col("lang")] * float(1 << 30))
     schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
 
+    @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters()
         for batch in batches:
@@ -152,6 +153,7 @@ def predict(docs: DataFrame, filters: BitmaskFilter, *keep: str) -> DataFrame:
     held = docs.select(*keep, F.col("text").cast("string").alias("tm_text"))
     kind = held.select(*keep).schema
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, known = Letters(), filters  # fixed slots, one bit per language; Spark broadcasts large closures
         for batch in batches:

@@ -45,6 +45,7 @@ def hash_lines(min_chars: int):
     """Documents in; a row for each (key, document) that may be a first occurrence, a row with the
     lines that are known to go, and a row with the number of lines of each document."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch["k_doc"].to_numpy(), batch["th"].to_numpy()

@@ -172,6 +172,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     pieces of the same length that this part has had before."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, place, part = Tokens(tokenizer), [0] * (capacity + 1), TaskContext.get().partitionId()
         close = np.array([end_id], "<u4").tobytes()

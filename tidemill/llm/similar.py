@@ -56,6 +56,8 @@ def node_of(s: np.ndarray) -> int:
 
 #: Counters of the sketch, and of one of its slices.
 COUNTERS, SLICE = 1 << 22, 1 << 16
+#: Texts whose sets a task holds at once.
+ROWS = 1000
 
 
 def counter(h: np.ndarray) -> np.ndarray:
@@ -67,12 +69,14 @@ def levels(docs: DataFrame, shingle: int, least: int = 64) -> np.ndarray:
     or four times the mean."""
     moved = pa.schema([("slice", pa.int32()), ("blob", pa.binary())])
 
+    @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int32)
         for batch in batches:
-            held = [shingle_set(t, shingle) for t in common.texts(batch["text"])]
-            if held:
-                total += np.bincount(counter(np.concatenate(held)), minlength=COUNTERS).astype(np.int32)
+            for k in range(0, batch.num_rows, ROWS):  # sets of few texts at a time: they take several times their text
+                held = [shingle_set(t, shingle) for t in common.texts(batch["text"].slice(k, ROWS))]
+                np.add(total, np.bincount(counter(np.concatenate(held)), minlength=COUNTERS), out=total, casting="unsafe")
+                del held
         for k in range(0, COUNTERS, SLICE):
             at = np.flatnonzero(total[k : k + SLICE])
             yield from common.batches(moved, [[k // SLICE], [common.pack(np.diff(at, prepend=0).astype(np.uint16), total[k + at])]])
@@ -104,8 +108,9 @@ def nodes(docs: DataFrame, shingle: int, level: np.ndarray) -> DataFrame:
     """k_doc, th, fp, node, n, prefix (its hashes as bytes) for every row of docs."""
     schema = pa.schema([("k_doc", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.binary())])
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             rows = []
             for t in common.texts(batch["text"]):
                 h = shingle_hashes(t.lower().split(), shingle)
@@ -134,12 +139,13 @@ def sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         bits[row * (ROW // 8) : (row + 1) * (ROW // 8)] = np.frombuffer(part, np.uint8)[: ROW // 8]
     schema = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch["bit"].to_numpy()
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
-            for k in range(0, batch.num_rows, 1000):
-                items = [shingle_set(t, shingle) for t in common.texts(batch["text"].slice(k, 1000))]
+            for k in range(0, batch.num_rows, ROWS):
+                items = [shingle_set(t, shingle) for t in common.texts(batch["text"].slice(k, ROWS))]
                 yield from common.batches(schema, [[*map(node_of, items)], [x.view(np.int64) for x in items]])
 
     out = common.identified(docs).select("text", bit.alias("bit")).mapInArrow(run, "node long, items array<long>")
