@@ -562,6 +562,19 @@ def test_new_words_are_tokenised_together():
     assert calls[0] < 100  # of some 5,000 different words
 
 
+def test_new_words_go_to_the_model_alone():
+    tokens = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two\n\nthree's é ñ_ 9x ''\t\r\n \n x", "\u00a1 \u00ad\u024f \u00ff", " ", ""]
+    want = [np.array(tokens.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+    class Unused:
+        def __getattr__(self, name):
+            raise AssertionError(name)
+
+    tokens.tokenizer = Unused()
+    assert list(tokens.each(texts)) == want
+
+
 def test_sketch_holds_the_sets_of_few_texts(monkeypatch):
     class Docs:
         def select(self, *columns):

@@ -17,8 +17,10 @@ document like any other; repeated rows are packed each; an empty table gives no
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -39,13 +41,19 @@ _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f",
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
-#: Characters of texts that are split at once, and words that are tokenised at once.
-_TEXTS, _WORDS = 1_000_000, 4_096
+#: Characters of texts that are split at once.
+_TEXTS = 1_000_000
+
+#: What byte-level models write for each byte.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
+#: How a byte-level tokenizer must be set for its words to be those of the split.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 class Tokens:
-    """A text's ids as little-endian 32-bit bytes. Words are looked up once and then kept; the new
-    words of several texts are tokenised together, one a line, as most of a call is not the word."""
+    """A text's ids as little-endian 32-bit bytes. Words are looked up once and then kept; a new word
+    goes to the tokenizer's model alone, as most of a call is not the word."""
 
     def __init__(self, path: str, keep: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores; a pool of threads would only wait for work
@@ -56,34 +64,26 @@ class Tokens:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
         self.known: dict[str, bytes] = {}
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            how = json.load(f)
+        self.bare = not how.get("normalizer") and _BYTE_LEVEL.items() <= (how.get("pre_tokenizer") or {}).items()
+        self.raw = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
 
     def plainly(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def words(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of each word. A line's end joins no word, and no word has its id."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == self.line) if self.line is not None else []
-        if len(ends) != len(words) - 1:
-            yield from map(self.plainly, words)
-            return
-        raw, ends = ids.tobytes(), (4 * ends).tolist()
-        for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)]):
-            yield raw[a:b]
+    def word(self, word: str) -> bytes:
+        if not self.bare:
+            return self.plainly(word)
+        return b"".join([self.raw[x.id] for x in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))])
 
     def learn(self, seen: set[str]) -> None:
         new = seen.difference(self.known)
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
             new = seen
-        blank = [w for w in new if w.isspace()]  # would run into the line's end
-        self.known.update(zip(blank, map(self.plainly, blank)))
-        new = [w for w in new if not w.isspace()]
-        for k in range(0, len(new), _WORDS):
-            part = new[k : k + _WORDS]
-            self.known.update(zip(part, self.words(part)))
+        self.known.update(zip(new, map(self.word, new)))
 
     def each(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of every text in turn."""
@@ -91,7 +91,7 @@ class Tokens:
         size = 0
 
         def told() -> Iterator[bytes]:
-            self.learn({w for x in held if isinstance(x, list) for w in x})
+            self.learn(set().union(*(x for x in held if isinstance(x, list))))
             for x in held:
                 yield self.plainly(x) if isinstance(x, str) else b"".join(map(self.known.__getitem__, x))
 
