@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemill.llm import common, decontaminate, elias_fano, language, line_dedup, lm_score, packing, quality, simhash, similar, suffixes, toxicity, urls
+from tidemill.llm import common, components, decontaminate, elias_fano, language, line_dedup, lm_score, packing, quality, simhash, similar, suffixes, toxicity, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k_doc string, th int, block string"
 LONG = "the quick brown fox jumps over the lazy dog and then rests. " * 400
@@ -117,6 +117,30 @@ def test_links_of_one_step_are_all_kept():
     assert {k for k in range(12) if root[k] == root[0]} == {0, 1, 2, 5, 6, 7, 9, 11} and (root[root] == root).all()
 
 
+def test_few_links_are_united_without_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    far = -(1 << 62)
+    links = [(k, k + 1) for k in rng.permutation(24).tolist() if k != 12]  # two chains
+    links += [(5000, k) for k in range(1000, 1010)] + [(far + 7, far), (far, 2000), (3000, 3000), (1, 0), (1, 0)]
+    links += [(4000 + int(a), 4000 + int(b)) for a, b in rng.integers(0, 30, (20, 2))]
+    root = {x: x for e in links for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    want = sorted((x, find(x)) for x in {x for a, b in links if a != b for x in (a, b)})
+    edges, written = spark.createDataFrame(links, "a long, b long"), []
+    monkeypatch.setattr(components, "checkpoint", lambda df: written.append(df) or common.checkpoint(df))
+    assert sorted(map(tuple, components.components(edges).collect())) == want
+    assert len(written) == 2  # the links and the result: disk and time do not grow with partitions x rounds
+    assert sorted(map(tuple, components.components(edges, few=len(links) // 2).collect())) == want and len(written) > 4
+    assert components.components(edges.limit(0)).count() == components.components(edges.limit(0), few=-1).count() == 0
+
+
 def test_near_copies_by_exact_similarity(spark, odd, none):
     rng = np.random.default_rng(5)
     texts = []

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, unite
 
 PIVOTS = 24
 SEED = 42
@@ -89,19 +89,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return common.identified(docs).mapInArrow(run, "k_doc long, th long, fp long")
 
 
-def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the components of i[k] and j[k] for all k at once. All of root point at true roots
-    before and after, so that no node but a root is given a new parent."""
-    while True:
-        a, b = root[i], root[j]
-        differ = a != b
-        if not differ.any():
-            return
-        np.minimum.at(root, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
-        while (deeper := root[root] != root).any():
-            root[deeper] = root[root][deeper]
-
-
 def link_groups(max_bits: int):
     """Rows (key, bi, bj, slice, fp) sorted by group in; links of a spanning forest out."""
     table_of, schema = pivots(), pa.schema([("a", pa.int64()), ("b", pa.int64())])
