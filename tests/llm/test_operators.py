@@ -141,6 +141,30 @@ def test_few_links_are_united_without_rounds(spark, monkeypatch):
     assert components.components(edges.limit(0)).count() == components.components(edges.limit(0), few=-1).count() == 0
 
 
+def test_only_pairs_that_may_be_alike_are_listed():
+    rng = np.random.default_rng(8)
+    held = []
+    for size in (1, 9, 18, 45, 90, 180, 360):
+        for _ in range(12):
+            base = rng.integers(0, 1 << 63, size, np.uint64)
+            for changed in (0, size // 18, size // 10, size // 9, size // 8, size // 4):
+                s = base.copy()
+                s[:changed] = rng.integers(0, 1 << 63, changed, np.uint64)
+                held.append(np.unique(np.append(s, np.uint64(7))))  # one shingle that all have
+    n, node = np.array([len(s) for s in held]), np.arange(len(held))
+    bits = np.frombuffer(b"".join(map(similar.parities, held)), np.uint64).reshape(-1, 4)
+    listed = [p for a, b, *_ in similar.across(np.full(len(held), 7), node, n, node, bits) for p in zip(a.tolist(), b.tolist())]
+    near, close = set(), 0
+    for j, b in enumerate(held):
+        for i, a in enumerate(held[:j]):
+            if 5 * n[i] >= 4 * n[j] and 5 * n[j] >= 4 * n[i]:
+                close += 1
+                if 9 * len(np.intersect1d(a, b)) >= 4 * (n[i] + n[j]):
+                    near.add((i, j))
+    assert len(listed) == len(set(listed)) and near <= set(listed)  # none is lost
+    assert len(listed) < close / 10 and len(near) > 300
+
+
 def test_near_copies_by_exact_similarity(spark, odd, none):
     rng = np.random.default_rng(5)
     texts = []

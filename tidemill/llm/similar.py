@@ -10,7 +10,9 @@ All sets are ordered alike: shingles that many documents have stand last, the ot
 hashes. Of a set of n shingles the first n - ceil(0.8 n) + 1 are its prefix: two sets with similarity
 0.8 have a shingle in common that is in both prefixes. How many such shingles they need is known too:
 what sets have in common beyond is behind the prefix that ends first. Pairs with fewer go before any
-set is looked at. What is left is verified on the whole sets. How many documents have a shingle is
+set is looked at. Before that, pairs go unlisted whose 256 parities (of how many shingles of a set fall on
+each of 256 places) show too many shingles that only one of them has: each such shingle changes one
+parity, so the parities differ in no more places than there are such shingles. What is left is verified on the whole sets. How many documents have a shingle is
 counted over all documents in a sketch of fixed size (2^22 counters); a count that is too high only
 moves a shingle back, in all sets alike, so the sketch decides on cost and never on results.
 
@@ -54,6 +56,11 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64))
 
 
+def parities(s: np.ndarray) -> bytes:
+    """256 bits: whether an odd number of a set's shingles falls on each of 256 places."""
+    return np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).tobytes()
+
+
 #: Counters of the sketch, and of one of its slices.
 COUNTERS, SLICE = 1 << 22, 1 << 16
 #: Texts whose sets a task holds at once.
@@ -105,8 +112,8 @@ def in_order(s: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, shingle: int, level: np.ndarray) -> DataFrame:
-    """k_doc, th, fp, node, n, prefix (its hashes as bytes) for every row of docs."""
-    schema = pa.schema([("k_doc", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.binary())])
+    """k_doc, th, fp, node, n, prefix (its hashes as bytes), parities for every row of docs."""
+    schema = pa.schema([("k_doc", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.binary()), ("parities", pa.binary())])
 
     @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +122,12 @@ def nodes(docs: DataFrame, shingle: int, level: np.ndarray) -> DataFrame:
             for t in common.texts(batch["text"]):
                 h = shingle_hashes(t.lower().split(), shingle)
                 s = np.unique(h)
-                rows.append((simhash.of_hashes(h), node_of(s), len(s), in_order(s, level)[: prefix_size(len(s))].tobytes() if len(s) else b""))
+                rows.append((simhash.of_hashes(h), node_of(s), len(s), in_order(s, level)[: prefix_size(len(s))].tobytes() if len(s) else b"", parities(s)))
             if rows:
                 fp, *rest = zip(*rows)
                 yield from common.batches(schema, [batch["k_doc"], batch["th"], np.array(fp, np.uint64).view(np.int64), *rest])
 
-    return common.identified(docs).mapInArrow(run, "k_doc long, th long, fp long, node long, n long, prefix binary")
+    return common.identified(docs).mapInArrow(run, "k_doc long, th long, fp long, node long, n long, prefix binary, parities binary")
 
 
 #: Bits of the filter of rows to compute sets of, and of one of its rows.
@@ -177,6 +184,12 @@ def _close(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return (5 * na >= 4 * nb) & (5 * nb >= 4 * na)
 
 
+def _alike(bits: np.ndarray, n: np.ndarray, i, j) -> np.ndarray:
+    """Whether the parities of sets i and j leave room for a similarity of 0.8: at most a ninth of the
+    sum of their sizes may be shingles that only one has."""
+    return 9 * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+
+
 def _summed(parts: list) -> list[np.ndarray]:
     a, b, na, nb = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((b, a))
@@ -189,6 +202,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
     held = None
     for batch in batches:
         now = [batch[c].to_numpy() for c in ("h", "node", "n", "root")]
+        now.append(np.frombuffer(b"".join(batch["parities"].to_pylist()), np.uint64).reshape(-1, 4))
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now)]
         starts = common.run_starts(now[0])
@@ -202,7 +216,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
 
 
 def candidates(list_pairs):
-    """Rows (h, node, n, root) sorted by h in, pairs (a < b) with the number of shingles out."""
+    """Rows (h, node, n, root, parities) sorted by h in, pairs (a < b) with the number of shingles out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -228,27 +242,28 @@ def _ordered(node, n, i, j):
 def few_pairs(tries: int, turn: int):
     """About ``tries`` partners of each node, others at each turn."""
 
-    def run(h, node, n, root):
+    def run(h, node, n, root, bits):
         if len(h) < 2:
             return
         with np.errstate(over="ignore"):
             mixed = (node.view(np.uint64) ^ h.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         order = np.lexsort((mixed, h))
-        h, node, n, root, mixed = h[order], node[order], n[order], root[order], mixed[order]
+        h, node, n, root, bits, mixed = h[order], node[order], n[order], root[order], bits[order], mixed[order]
         i = np.arange(len(h) - 1)
         asks = (mixed[i] >> np.uint64(16)) % prefix_size(n[i]).astype(np.uint64) < tries
         i = i[(h[i] == h[i + 1]) & asks & (root[i] != root[i + 1]) & _close(n[i], n[i + 1])]
+        i = i[_alike(bits, n, i, i + 1)]
         yield _ordered(node, n, i, i + 1)
 
     return run
 
 
-def across(h, node, n, root):
+def across(h, node, n, root, bits):
     """Every pair of two components in a group, once: nodes of the largest component of a group meet
     only the others, so that a family of copies costs no more than its number of outsiders."""
     order = np.lexsort((root, h))
-    h, node, n, root = h[order], node[order], n[order], root[order]
+    h, node, n, root, bits = h[order], node[order], n[order], root[order], bits[order]
     starts = common.run_starts(h)
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(h)]):
         runs = a + common.run_starts(root[a:b])
@@ -262,6 +277,7 @@ def across(h, node, n, root):
         for k, i in enumerate(others.tolist()):
             j = np.concatenate([inside, others[after[k] :]])
             j = j[_close(n[i], n[j])]
+            j = j[_alike(bits, n, i, j)]
             if len(j):
                 yield _ordered(node, n, np.full(len(j), i), j)
 
@@ -269,9 +285,9 @@ def across(h, node, n, root):
 def grouped(docs: DataFrame, shingle: int = 5, tries: int = 32, turns: int = 1) -> DataFrame:
     """k_doc, th, node, root for every row of docs: rows with one root are near duplicates."""
     marked = common.checkpoint(nodes(docs, shingle, levels(docs, shingle)))
-    rows = marked.drop("prefix")
+    rows = marked.drop("prefix", "parities")
     met = common.checkpoint(shared(marked))
-    first = common.checkpoint(rows.groupBy("node").agg(F.min(F.struct("k_doc", "th")).alias("x"), F.first("n").alias("n"), F.min("fp").alias("fp")).select("node", "n", "fp", "x.k_doc", "x.th"))
+    first = common.checkpoint(marked.groupBy("node").agg(F.min(F.struct("k_doc", "th")).alias("x"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("parities").alias("parities")).select("node", "n", "fp", "x.k_doc", "x.th", "parities"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets have similarity 0.8 or more."""
@@ -289,9 +305,9 @@ def grouped(docs: DataFrame, shingle: int = 5, tries: int = 32, turns: int = 1)
 
     def pairs(reached: DataFrame, list_pairs) -> DataFrame:
         """Candidates among the nodes that share a prefix shingle with a node of another component."""
-        known = met.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        known = met.join(first.select("node", "parities"), "node").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = known.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-        dealt = known.join(mixed, "h", "left_semi").select("h", "node", "n", "root").repartition(common.partitions(docs.sparkSession), "h").sortWithinPartitions("h")
+        dealt = known.join(mixed, "h", "left_semi").select("h", "node", "n", "root", "parities").repartition(common.partitions(docs.sparkSession), "h").sortWithinPartitions("h")
         return dealt.mapInArrow(candidates(list_pairs), _PAIRS).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
 
     # none is linked yet: each node is its own component
